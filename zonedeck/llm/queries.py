@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, simhash_dedup, token_counts
+from . import fingerprints, mixing, packing, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_pareto_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op8_pareto_mix": mixing.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
