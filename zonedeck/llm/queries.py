@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, simhash_dedup, substring_dedup, token_counts
+from . import fingerprints, mixing, packing, simhash_dedup, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_pareto_mix": mixing.op8_pareto_mix,
