@@ -215,6 +215,12 @@ def near_duplicate_classes(docs: DataFrame, radius: int = RADIUS, size: int = 3,
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = 3) -> DataFrame:
+    """docs with one document of each component, that of the least id; rows without an id stay."""
+    classes = near_duplicate_classes(docs.select("doc_id", "text"), radius, size)
+    return docs.join(classes.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -273,6 +273,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id
     return joined.mapInArrow(cut, schema)
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the text that is left, and its n_chars."""
+    done = dedup_substrings(docs, window)
+    return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_substrings(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.array_join(F.array_remove(F.split("kept_text", r"[\x20\x09-\x0D]+"), ""), " ")

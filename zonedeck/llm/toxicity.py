@@ -376,20 +376,39 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) and the columns `extra` of docs, from a network fitted to the labels."""
+def _fitted(docs: DataFrame, labels: DataFrame):
     net = fit(*training_sample(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(net.p if net else None)  # 2 * BUCKETS * DIM numbers
-    extra = extra or []
-    schema = T.StructType([*SCORES.fields, *[docs.schema[c] for c in extra]])
+
+    def scorer():
+        network = Scorer(Network(shared.value)) if shared.value else None
+        return lambda column: network.scores(common.text_bytes(column)) if network else np.zeros(len(column))
+
+    return scorer
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) of each row of docs, from a network fitted to the labels."""
+    scorer = _fitted(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in common.sliced(batches, "text", 1 << 20):
+            yield pa.record_batch([batch.column(0), pa.array(score(batch.column(1)))], names=SCORES.names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, as they are."""
+    scorer, at = _fitted(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Network(shared.value)) if shared.value else None
-        for batch in common.sliced(batches, "_text", 1 << 20):
-            scores = scorer.scores(common.text_bytes(batch.column(1))) if scorer else np.zeros(batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(scores), *batch.columns[2:]], names=schema.names)
+        score = scorer()
+        for batch in common.sliced(batches, "text", 1 << 20):
+            yield batch.filter(pa.array(score(batch.column(at)) < threshold))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *extra).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
