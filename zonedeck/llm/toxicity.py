@@ -40,6 +40,8 @@ NGRAMS = (4, 5)
 #: The bound of the training sample, in documents.
 MAX_TOXIC, MAX_CLEAN = 1000, 1500
 EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Gradient steps at least; a small sample gets more epochs.
+STEPS = 150
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps before it starts anew.
 CACHE = 200_000
@@ -280,8 +282,8 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network | Non
     squares = {k: np.full(BUCKETS, 1e-3, np.float32) for k in ("word", "gram")}
     x_row = net.inputs(features)[:, 0]
     logit = np.where(rows >= 0, x_row[rows], 0).max(axis=1)  # the first choice of windows: by the log odds
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epoch = 0, 0
+    while epoch < EPOCHS or step < STEPS:
         if epoch:
             gates = net.gates(net.inputs(features))
             logit = net.logits(gates, rows)
@@ -289,6 +291,8 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network | Non
         nth = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         taken = order[(nth == 0) | (nth <= 2) & (toxic[doc[order]] == 0)]
         taken = taken[rng.permutation(len(taken))]
+        epoch += 1
+        ratio = np.float32(min(8.0, (toxic[doc[taken]] == 0).sum() / max(1, (toxic[doc[taken]] == 1).sum())))
         for i in range(0, len(taken), BATCH):
             step += 1
             w = taken[i : i + BATCH]
@@ -299,7 +303,8 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network | Non
             part = _subset(features, ids, first, many)
             x = net.inputs(part)
             out, memory = net.forward(net.gates(x), local, keep=True)
-            error = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - toxic[doc[w]]) / len(w)).astype(np.float32)
+            weight = np.where(toxic[doc[w]] == 1, ratio, np.float32(1))  # both classes weigh alike
+            error = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - toxic[doc[w]]) * weight / weight.sum()).astype(np.float32)
             grad, d_gates = net.backward(local, error, memory)
             flat, real = d_gates.reshape(-1, 6 * HIDDEN), local.T.reshape(-1)
             d_x_gates = np.zeros((len(ids), 6 * HIDDEN), np.float32)
