@@ -260,8 +260,12 @@ def pack_record(plan: Plan, values: dict[str, Column], filler: int = 0) -> Colum
         elif isinstance(item, Gap):
             parts.append(F.lit(bytes([filler]) * item.length))
         else:
-            names = [i for i in item.items if isinstance(i, Field)]
-            element = lambda e, names=names, item=item: F.hex(F.concat(*[f.codec.encode(e[f.path.removeprefix(item.path + "[].")]) for f in names]))
-            parts.append(F.unhex(F.array_join(F.transform(values[item.path], element), "")))
+            parts.append(_packed_table(item, values[item.path]))
         at = item.offset + item.length
     return F.concat(*parts)
+
+
+def _packed_table(t: Occurs, elements: Column) -> Column:
+    names = [i for i in t.items if isinstance(i, Field)]
+    one = lambda e: F.hex(F.concat(*[f.codec.encode(e[f.path.removeprefix(t.path + "[].")]) for f in names]))
+    return F.unhex(F.array_join(F.transform(elements, one), ""))
