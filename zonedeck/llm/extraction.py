@@ -1,7 +1,7 @@
 """HTML extraction with a site style tree.
 
 Pages of a host are merged into one tree whose nodes are element paths (names with
-their classes). For each node the tree counts its presentations (the sequence of its
+their classes, numbers in those alike). For each node the tree counts its presentations (the sequence of its
 children's names) and its contents (hashes of all text of its branch). A node's
 importance is the larger of the two entropies, each over the log of the node's count:
 what looks and reads alike on all pages is unimportant. A host with few pages leans on
