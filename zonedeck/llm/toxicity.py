@@ -383,11 +383,12 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sco
 
 def _fitted(docs: DataFrame, labels: DataFrame):
     net = fit(*training_sample(docs, labels))
-    shared = docs.sparkSession.sparkContext.broadcast(net.p if net else None)  # 2 * BUCKETS * DIM numbers
+    shared = docs.sparkSession.sparkContext.broadcast(None if net is None else net.p)  # 2 * BUCKETS * DIM numbers
 
     def scorer():
-        network = Scorer(Network(shared.value)) if shared.value else None
-        return lambda column: network.scores(common.text_bytes(column)) if network else np.zeros(len(column))
+        network = Scorer(Network(shared.value)) if shared.value is not None else None
+        # A scorer is a dict, empty at first: compare with None.
+        return lambda column: np.zeros(len(column)) if network is None else network.scores(common.text_bytes(column))
 
     return scorer
 
