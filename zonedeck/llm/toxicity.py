@@ -74,7 +74,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         owners.append(of[at[inside]])
     grams, owners = (np.concatenate(grams), np.concatenate(owners)) if grams else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(owners, kind="stable")
-    return word.astype(np.int64), grams[order], owners[order]
+    return word.astype(np.int32), grams[order].astype(np.int32), owners[order].astype(np.int32)
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +106,27 @@ class Network:
             p |= {f"W{side}": draw(DIM, 3 * HIDDEN, scale=0.3), f"U{side}": draw(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
         return Network(p)
 
-    def inputs(self, features: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    def inputs(self, features: tuple[np.ndarray, np.ndarray, np.ndarray], block: int = 20_000) -> np.ndarray:
         word, gram, owner = features
-        x = self.p["word"][word].copy()
-        if len(gram):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            n = np.diff(np.r_[starts, len(owner)])
-            x[owner[starts]] += np.add.reduceat(self.p["gram"][gram], starts, axis=0) / n[:, None].astype(np.float32)
+        x = self.p["word"][word]
+        for i in range(0, len(word), block):  # the n-grams' embeddings of a few words at once
+            a, b = np.searchsorted(owner, (i, i + block))
+            if a < b:
+                own = owner[a:b]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                n = np.diff(np.r_[starts, len(own)])
+                x[own[starts]] += np.add.reduceat(self.p["gram"][gram[a:b]], starts, axis=0) / n[:, None].astype(np.float32)
         return x
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Input part of the gates of both directions; a last row, for no word, keeps the state as it is."""
-        g = np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
-        none = np.zeros((1, g.shape[1]), np.float32)
-        none[0, :HIDDEN] = none[0, 3 * HIDDEN : 4 * HIDDEN] = 60
-        return np.concatenate([g, none])
+        H = HIDDEN
+        g = np.zeros((len(x) + 1, 6 * H), np.float32)
+        for d, side in enumerate("fb"):
+            np.matmul(x, self.p[f"W{side}"], out=g[:-1, 3 * H * d : 3 * H * (d + 1)])
+            g[:-1, 3 * H * d : 3 * H * (d + 1)] += self.p[f"c{side}"]
+            g[-1, 3 * H * d : 3 * H * d + H] = 60
+        return g
 
     def forward(self, gates: np.ndarray, place: np.ndarray, keep: bool = False):
         """Logits of windows; place: rows of gates, -1 for no word. keep: also what backward() needs."""
@@ -260,19 +266,29 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network | Non
     d_seen, w_seen = seen // max(1, len(row)), seen % max(1, len(row))
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
 
-    def odds(unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        pair = np.unique(unit * np.int64(len(texts)) + doc)
-        u, d = pair // len(texts), pair % len(texts)
-        c1 = np.bincount(u, weights=toxic[d], minlength=BUCKETS)
-        c0 = np.bincount(u, weights=1 - toxic[d], minlength=BUCKETS)
+    def odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log odds of buckets from (bucket, document), all of a document's in one part."""
+        c1, c0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for unit, doc in pairs:
+            pair = np.unique(unit * np.int64(len(texts)) + doc)
+            u, y = pair // len(texts), toxic[pair % len(texts)]
+            c1 += np.bincount(u, weights=y, minlength=BUCKETS)
+            c0 += np.bincount(u, weights=1 - y, minlength=BUCKETS)
         r1, r0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
         return np.clip(np.log(r1 / r0) * (c1 + c0) / (c1 + c0 + 8), -3, 3)
 
-    net.p["word"][:, 0] = odds(word[w_seen], d_seen)
     first = np.searchsorted(owner, np.arange(len(row)))
     many = np.diff(np.r_[first, len(owner)])
-    spread = np.repeat(first[w_seen], many[w_seen]) + np.arange(many[w_seen].sum()) - np.repeat(np.cumsum(many[w_seen]) - many[w_seen], many[w_seen])
-    net.p["gram"][:, 0] = odds(gram[spread], np.repeat(d_seen, many[w_seen]))
+
+    def gram_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for d in range(0, len(texts), 100):
+            a, b = np.searchsorted(d_seen, (d, d + 100))
+            w, n = w_seen[a:b], many[w_seen[a:b]]
+            at = np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield gram[at], np.repeat(d_seen[a:b], n)
+
+    net.p["word"][:, 0] = odds(iter([(word[w_seen], d_seen)]))
+    net.p["gram"][:, 0] = odds(gram_pairs())
     # All places where the first inputs are high start as evidence, in both directions.
     for side in "fb":
         net.p[f"W{side}"][0, 2 * HIDDEN :] = np.abs(net.p[f"W{side}"][0, 2 * HIDDEN :])
