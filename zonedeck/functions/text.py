@@ -15,13 +15,14 @@ CODEPAGES = {37: "cp037", 500: "cp500", 1140: "cp1140", 1148: "cp500"}
 
 @cache
 def _tables(codepage: int) -> tuple[str, str]:
-    """Latin-1 characters of all bytes, and what they mean in the code page."""
+    """Latin-1 characters of bytes, and what they mean in the code page; without those that mean themselves (translate() would drop NUL)."""
     if codepage not in CODEPAGES:
         raise ValueError(f"E_SCHEMA: unsupported codepage cp{codepage}")
     meant = list(bytes(range(256)).decode(CODEPAGES[codepage]))
     if codepage == 1148:
         meant[0x9F] = "€"
-    return "".join(map(chr, range(256))), "".join(meant)
+    differ = [(chr(b), c) for b, c in enumerate(meant) if chr(b) != c]
+    return "".join(a for a, _ in differ), "".join(c for _, c in differ)
 
 
 def ebcdic_text(data: Column, codepage: int = 37) -> Column:
@@ -33,9 +34,9 @@ def ebcdic_text(data: Column, codepage: int = 37) -> Column:
 def ebcdic_bytes(text: Column, codepage: int = 37) -> Column:
     """Bytes of a text; null if a character has none."""
     latin, meant = _tables(codepage)
-    known = "".join(sorted(meant))
-    turned = F.translate(text, meant, latin)
-    return F.when(F.translate(text, known, "") == "", F.encode(turned, "ISO-8859-1"))
+    known = {*meant, *(chr(b) for b in range(256) if chr(b) not in latin)}
+    outside = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(known)) + "]"
+    return F.when(~text.rlike(outside), F.encode(F.translate(text, meant, latin), "ISO-8859-1"))
 
 
 def decode_text(data: Column, encoding: str = "ascii", codepage: int = 37) -> Column:

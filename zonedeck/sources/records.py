@@ -72,7 +72,7 @@ def json_cells(rows: DataFrame) -> DataFrame:
 def csv_cells(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """(record_index, cells, error_code, line) of the lines after the header; a wrong number of cells is E_CSV."""
     cells = F.split("line", ",", -1)
-    named = F.map_from_arrays(F.array(*map(F.lit, header)), F.transform(F.slice(cells, 1, len(header)), F.trim))
+    named = F.map_from_arrays(F.array(*map(F.lit, header)), F.transform(F.slice(cells, 1, len(header)), lambda x: F.trim(x)))
     body = lines(spark, path).filter("record_index > 0").withColumn("record_index", F.col("record_index") - 1)
     bad = F.size(cells) != len(header)
     return body.select("record_index", F.when(~bad, named).alias("cells"), F.when(bad, "E_CSV").alias("error_code"), "line")
