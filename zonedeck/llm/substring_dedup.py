@@ -5,10 +5,12 @@ further rounds name pairs: a hash bit of a name puts it left or right, and a lef
 directly before a right one becomes a new name. Which names pair depends on the names
 alone, so equal token windows are parsed alike but for the names at their ends that
 something outside might take; those are left out round by round, and what remains is
-stable. A window's anchor is its first stable name of the highest round that has one.
-Equal windows have equal anchors at the same place within them.
+stable. A window's anchor is, of its stable names of the highest round that has some,
+the one whose hash is least. Equal windows have equal anchors at the same place.
 
-1. Anchors whose name occurs once in the corpus are dropped with their windows.
+0. Of documents with equal texts only the least id's goes on; the others are cut whole.
+1. Anchors whose name, with the words next to it, occurs once in the corpus are dropped
+   with their windows.
 2. The windows at shared anchors get 96-bit hashes of all their words, which verify
    them; a window is removed if an equal one starts earlier (smaller id, then place).
 3. Words that a removed window covers are cut from their document.
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 20
-ROUNDS = 7
+ROUNDS = 4
+#: Words that an anchor's name is told apart by; a window is at least that long.
+CONTEXT = 6
 #: Words whose hashes a worker keeps before it starts anew.
 CACHE = 500_000
 _NULL_ID = -(2**63)
@@ -82,20 +86,44 @@ class Slice:
         return place[self.doc[place] == self.doc[place + window - 1]] if len(place) else place
 
 
+def least_in(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Index of the least key of each range [low, high), the first of equal ones; ranges hold 1 to 31."""
+    best = [np.arange(len(key))]
+    for k in range(4):
+        a, shift = best[-1], 1 << k
+        b = np.r_[a[shift:], a[len(a) - min(shift, len(a)) :]]
+        best.append(np.where(key[b] < key[a], b, a))
+    size = high - low
+    k = np.asarray([0, *(n.bit_length() - 1 for n in range(1, 32))])[size]
+    tables = np.stack(best)
+    a, b = tables[k, low], tables[k, high - (1 << k)]
+    return np.where(key[b] < key[a], b, a)
+
+
 def anchors(s: Slice, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, name, place) of each window: its anchor's name and where that begins."""
+    """(start, name, place) of each window: its anchor's name and where that begins.
+
+    The anchor is the stable name of the highest round, among those that leave CONTEXT words
+    of the window from their beginning on, whose hash is least.
+    """
     start = s.starts(window)
     name, place = s.names[start], start.copy()
     if not len(start):
         return start, name, place
     sym, begin, doc = s.names, np.arange(len(s.names)), s.doc
     left, right = start.copy(), start + window  # stable names of each window: left <= index < right
+    last = start + window - CONTEXT  # the name that holds this word is the last that may be an anchor
+    holds = np.arange(len(s.names))
 
     def settle(level: int) -> None:
-        some = np.flatnonzero(left < right)
-        name[some] = mix(sym[left[some]] + np.uint64(level))
-        place[some] = begin[left[some]]
-
+        high = np.minimum(right, holds[last] + 1)
+        some = np.flatnonzero(left < high)
+        if len(some):
+            at = least_in(mix(sym + np.uint64(7)), left[some], high[some])
+            name[some] = mix(sym[at] + np.uint64(level))
+            place[some] = begin[at]
+
+    settle(0)
     new = np.r_[True, (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])]
     index = np.cumsum(new) - 1
     at = np.flatnonzero(new)
@@ -103,7 +131,7 @@ def anchors(s: Slice, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
     named = sym[at]
     named = np.where(length > 1, join_names(named, length.astype(np.uint64), 1), named)
     left, right = index[left] + 1, index[right - 1]  # the runs at the ends may go on outside
-    sym, begin, doc = named, begin[at], doc[at]
+    sym, begin, doc, holds = named, begin[at], doc[at], index
     settle(1)
     for level in range(2, rounds + 1):
         # Indices past the slice's end are those of windows that have nothing stable left.
@@ -120,11 +148,16 @@ def anchors(s: Slice, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
         at = np.flatnonzero(keep)
         following = np.minimum(at + 1, len(sym) - 1)
         sym = np.where(pair[at], join_names(sym[at], sym[following], level), sym[at])
-        begin, doc = begin[at], doc[at]
+        begin, doc, holds = begin[at], doc[at], index[holds]
         settle(level)
     return start, name, place
 
 
+def anchor_keys(s: Slice, name: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The anchors' names with the CONTEXT words from their beginning on."""
+    return join_names(name, window_hashes(s.names, CONTEXT)[0].view(np.uint64)[place], 13)
+
+
 def window_hashes(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit and a 32-bit hash of the window at each place (the last window - 1 places are of no use)."""
     out = []
@@ -149,21 +182,32 @@ def _spread(n: int, ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
-def _rows(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)).alias("d"), F.col(text).cast("string").alias("text"))
+def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """docs with _zd_d, the id by which they are ordered, and _zd_copy: an equal text has a smaller id.
+
+    Whatever reads the texts starts from these rows with all their columns, so that Spark
+    deals the texts out by _zd_d once and uses that again.
+    """
+    rows = docs.withColumn("_zd_d", F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)))
+    digests = rows.select("_zd_d", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_zd_m"))
+    first = digests.groupBy("_zd_m").agg(F.min("_zd_d").alias("_zd_first"), F.max("_zd_d").alias("_zd_last")).filter("_zd_first < _zd_last").select("_zd_m", "_zd_first")
+    copies = digests.join(first, "_zd_m").filter("_zd_d > _zd_first").select("_zd_d").distinct().withColumn("_zd_copy", F.lit(True))
+    return rows.join(copies, "_zd_d", "left").withColumn("_zd_copy", F.coalesce("_zd_copy", F.lit(False)))
 
 
-def removed_starts(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, starts): the places, in words, of each document's windows that start earlier elsewhere."""
-    rows = _rows(docs, ident, text)
+def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """(_zd_d, _zd_starts): the places, in words, of the windows that start earlier elsewhere, of all documents but copies."""
+    rows = keyed.filter("NOT _zd_copy")
+    at_d, at_text = rows.columns.index("_zd_d"), rows.columns.index(text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches, "text"):
-            ids = batch.column(0).to_numpy()
-            s = Slice(common.text_bytes(batch.column(1)))
+        for batch in common.sliced(batches, text):
+            ids = batch.column(at_d).to_numpy()
+            s = Slice(common.text_bytes(batch.column(at_text)))
             start, name, place = anchors(s, window)
             if not len(start):
                 continue
+            name = anchor_keys(s, name, place)
             # Windows at one anchor are neighbours: one row a run of them.
             new = np.r_[True, (name[1:] != name[:-1]) | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]
             at = np.flatnonzero(new)
@@ -182,19 +226,24 @@ def removed_starts(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id",
                 names=["name", "d", "packed", "known"],
             )
 
-    found = rows.mapInArrow(find, "name long, d long, packed long, known boolean").repartition("name")
-    shared = found.filter("NOT known").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    candidates = found.filter("known").select("d", "packed").union(found.filter("NOT known").join(shared, "name").filter("packed >= 0").select("d", "packed"))
-    candidates = candidates.groupBy("d").agg(F.collect_list("packed").alias("packed"))
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, same, columns in _runs(batches, 1):
+            name, d, packed, known = columns
+            again = same | np.r_[same[1:], False]  # the last row of all that came is held back by _runs
+            take = (known | again | first) & (packed >= 0)
+            yield pa.record_batch([pa.array(d[take]), pa.array(packed[take])], names=["d", "packed"])
+
+    found = rows.mapInArrow(find, "name long, d long, packed long, known boolean").repartition("name").sortWithinPartitions("name")
+    candidates = found.mapInArrow(shared, "d long, packed long").groupBy("d").agg(F.collect_list("packed").alias("packed"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches, "text"):
-            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
-            ids = batch.column(0).to_numpy()
-            s = Slice(common.text_bytes(batch.column(1)))
+        for batch in common.sliced(batches, text):
+            batch = batch.take(pa.array(np.argsort(batch.column(at_d).to_numpy(), kind="stable")))
+            ids = batch.column(at_d).to_numpy()
+            s = Slice(common.text_bytes(batch.column(at_text)))
             if len(s.names) < window:
                 continue
-            packed = batch.column(2)
+            packed = batch.column(batch.num_columns - 1)
             flat, counts = packed.flatten().to_numpy(), packed.value_lengths().to_numpy(zero_copy_only=False)
             base = np.repeat(s.first[:-1], counts)
             begin, runs = base + flat // 64, flat % 64
@@ -216,13 +265,50 @@ def removed_starts(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id",
             key = np.where(earlier, _spread(len(start), ids[of]), h)
             yield pa.record_batch([pa.array(key), pa.array(check), pa.array(ids[of]), pa.array(pos), pa.array(earlier)], names=["h", "c", "d", "start", "earlier"])
 
-    joined = rows.join(candidates, "d").select("d", "text", "packed")
-    windows = joined.mapInArrow(verify, "h long, c int, d long, start long, earlier boolean").repartition("h", "c")
-    open_ = windows.filter("NOT earlier")
-    least = open_.groupBy("h", "c").agg(F.min(F.struct("d", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    late = open_.join(least, ["h", "c"]).filter(F.struct("d", "start") > F.col("least")).select("d", "start")
-    removed = windows.filter("earlier").select("d", "start").union(late)
-    return removed.groupBy("d").agg(F.collect_list("start").alias("starts"))
+    joined = rows.join(candidates.toDF("_zd_d", "_zd_packed"), "_zd_d").select(*rows.columns, "_zd_packed")
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, going = None, False  # the row before, and whether it was past its run's first place
+        for _, same, (h, c, d, start, earlier) in _runs(batches, 2):
+            other = np.r_[before is None or before != (d[0], start[0]), (d[1:] != d[:-1]) | (start[1:] != start[:-1])]
+            run = np.cumsum(~same)
+            moved = np.cumsum(same & other)
+            base = np.r_[0, moved[~same]]
+            past = (moved - base[run] > 0) | (run == 0) & going
+            before, going = (d[-1], start[-1]), bool(past[-1])
+            take = past | earlier
+            yield pa.record_batch([pa.array(d[take]), pa.array(start[take])], names=["d", "start"])
+
+    # Of a window's rows in order, all but the first are late. Equal places of rows that share an id are one place.
+    windows = joined.mapInArrow(verify, "h long, c int, d long, start long, earlier boolean").repartition("h", "c").sortWithinPartitions("h", "c", "d", "start")
+    return windows.mapInArrow(late, "d long, start long").groupBy(F.col("d").alias("_zd_d")).agg(F.collect_list("start").alias("_zd_starts"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Rows of a partition sorted by the first `keys` columns, as (first, same, columns).
+
+    same: the row has the key of the row before, in this batch or an earlier one; rows
+    settled before (last column) never do. first: the row begins a run that goes on in
+    the next batch. One row is held back, so that a batch's last row knows what follows.
+    """
+    last, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+        settled = columns[-1].astype(bool)
+        same = np.r_[False, np.all([x[1:] == x[:-1] for x in columns[:keys]], axis=0)]
+        if last is not None and all(x[0] == y for x, y in zip(columns, last)):
+            same[0] = True
+        held = [x[-1:] for x in columns]
+        first = np.zeros(len(same) - 1, bool)
+        if len(first):
+            first[-1] = same[-1]
+            last = [x[-2] for x in columns[:keys]]
+            yield first, same[:-1] & ~settled[:-1], [x[:-1] for x in columns]
+    if held is not None:
+        same = np.asarray([last is not None and all(x[0] == y for x, y in zip(held, last))]) & ~held[-1].astype(bool)
+        yield np.zeros(1, bool), same, held
 
 
 def _repeated(name: np.ndarray, place: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -253,22 +339,21 @@ def kept_words(words: list[bytes], starts: list[int] | None, window: int = WINDO
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_removed, and kept_text: the words left, by one space, or the text as it was if none went."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    docs = docs.select(*names).withColumn("_d", F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)))
-    joined = docs.join(removed_starts(docs, window, ident, text).withColumnRenamed("d", "_d").withColumnRenamed("starts", "_starts"), "_d", "left")
-    joined = joined.select(*names, "_starts")
+    keyed = _keyed(docs.select(*names), ident, text)
+    joined = keyed.join(removed_starts(keyed, window, text), "_zd_d", "left").select(*names, "_zd_copy", "_zd_starts")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text):
-            texts, starts = common.text_bytes(batch.column(names.index(text))), batch.column(len(names)).to_pylist()
+            texts = common.text_bytes(batch.column(names.index(text)))
             n, gone, kept = [], [], []
-            for t, x in zip(texts, starts):
+            for t, copy, x in zip(texts, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
                 words = t.split()
-                left = kept_words(words, x, window)
+                left = ([] if len(words) >= window else words) if copy else kept_words(words, x, window)
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append((b" ".join(left) if gone[-1] else t).decode())
-            yield pa.record_batch([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+            yield pa.record_batch([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
     return joined.mapInArrow(cut, schema)
 
