@@ -18,6 +18,7 @@ from ..plans.schema import MAX_RECORD_BYTES, Codec, Occurs, Plan
 
 #: Files up to this size are read whole and cut in the JVM; larger ones are split by record boundaries.
 WHOLE_FILE = 128 << 20
+#: Fixed value: what a tape image begins with.
 TAPE_MAGIC = b"COBOLVM-TAPE-1\n"
 
 
