@@ -540,3 +540,45 @@ def schema_compare(spark, d):
         _field("KEY", offset=0, field_type="binary", total_digits=9, signed=False), _field("TOTAL", offset=4, field_type="packed-decimal", total_digits=11, scale=0, signed=True),
         _field("NEW", offset=10, field_type="alphanumeric", length=1), _field("PRIORITY", offset=11, field_type="alphanumeric", length=7)]})
     return spark.createDataFrame([(r["path"], r["change"]) for r in plans.compare(ORDER_PLAN, other)], "path string, change string")
+
+
+GRADING = """DATA DIVISION.
+01 TOTAL PIC S9(9)V99 COMP-3.
+01 STATUS-CODE PIC X.
+   88 OPEN-ORDER VALUE "O" "P".
+01 FEE PIC S9(7)V99 VALUE 0.
+01 CAPPED PIC 9(4) VALUE 0.
+01 GRADE PIC X(6) VALUE SPACES.
+PROCEDURE DIVISION.
+MAIN-LINE.
+    COMPUTE FEE ROUNDED = TOTAL * 0.015.
+    IF OPEN-ORDER AND TOTAL > 100000 THEN ADD 10 TO FEE END-IF.
+    EVALUATE TRUE ALSO STATUS-CODE
+      WHEN OPEN-ORDER ALSO "P" MOVE "PART" TO GRADE
+      WHEN OPEN-ORDER ALSO ANY MOVE "OPEN" TO GRADE
+      WHEN OTHER MOVE "CLOSED-NOW" TO GRADE
+    END-EVALUATE.
+    COMPUTE CAPPED ROUNDED = FEE * 2 ON SIZE ERROR MOVE 9999 TO CAPPED END-COMPUTE.
+"""
+
+
+@query(f"""SELECT o_orderkey, CAST(fee AS BIGINT) AS fee, CAST(CASE WHEN round(fee * 2 / 100.0) > 9999 THEN 9999 ELSE (fee * 2 + 50) // 100 END AS BIGINT) AS capped,
+  CASE o_orderstatus WHEN 'P' THEN 'PART  ' WHEN 'O' THEN 'OPEN  ' ELSE 'CLOSED' END AS grade FROM (
+  SELECT *, ({TOTAL_SQL} * 15 + 500) // 1000 + CASE WHEN o_orderstatus IN ('O', 'P') AND {TOTAL_SQL} > 10000000 THEN 1000 ELSE 0 END AS fee FROM orders)""")
+def program_run(spark, d):
+    """A row-local program over every order."""
+    from .plans import lower
+
+    rows = table(spark, d, "orders").select("o_orderkey", dec("o_totalprice").alias("TOTAL"), F.col("o_orderstatus").alias("STATUS-CODE"))
+    got = lower.run(GRADING, rows)
+    return got.select("o_orderkey", cents(F.col("FEE")).alias("fee"), F.col("CAPPED").cast("bigint").alias("capped"), F.col("GRADE").alias("grade"))
+
+
+@query("SELECT 'call' AS kind, o_orderpriority AS target, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'copy', o_orderstatus, count(*) FROM orders GROUP BY 2")
+def dependency_edges(spark, d):
+    """Edges of a program text made for each order."""
+    from .operators import programs
+
+    text_ = F.concat(F.lit("COPY "), F.col("o_orderstatus"), F.lit('.\nCALL "'), F.col("o_orderpriority"), F.lit('".'))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text_.alias("text"))
+    return programs.dependency_edges(rows).groupBy("kind", "target").agg(F.count("*").alias("n"))
