@@ -1,7 +1,8 @@
 """Quality by importance resampling.
 
 Two generative models of hashed n-grams (words and word pairs, BUCKETS buckets) are
-counted, one over the texts labelled good, one over all texts. A document's log weight
+counted: the target over texts labelled good (at most MAX_GOOD of them, those with the
+least hash of the id), the raw one over all texts. A document's log weight
 is the mean log ratio of its n-grams, target over raw, times LENGTH: as if every
 document had that many, so that long ones aren't favoured. Gumbel noise hashed from
 the id is added and the k highest keys are the sample, k the share of good labels
@@ -33,6 +34,8 @@ BUCKETS = 10_000
 LENGTH = 100.0
 EMPTY = -100.0
 CACHE = 500_000
+#: The bound of the labelled sample that the target is counted over.
+MAX_GOOD = 20_000
 _BINS, _FEW = 4096, 20_000
 
 
@@ -135,7 +138,8 @@ def top_k(keyed: DataFrame, k: int) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """(doc_id, log_weight, key, keep) of every row of docs (doc_id, text)."""
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = known.filter("quality = 1").select("doc_id")
+    # Bounded, so that the texts needn't be dealt out to meet the labels.
+    good = F.broadcast(known.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_GOOD))
     ratios = log_ratios(count_ngrams(docs.join(good, "doc_id", "left_semi")), count_ngrams(docs))
     if share is None:
         share = known.agg(F.avg("quality")).first()[0] or 1.0
