@@ -26,6 +26,8 @@ from . import common
 
 #: Rank buckets of a source. The rows of one bucket are sorted in one task: 1/4096 of a source.
 BUCKETS = 4096
+#: Sources up to which their rows are sent to the documents, and not the documents to them.
+MAX_BROADCAST = 50_000
 OUTPUT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -94,6 +96,8 @@ def pareto_mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", t
         .select(F.col("t.source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("p").alias("_p"), F.col("f.bucket").alias("_bucket"), F.col("c.last").alias("_last"))
     )
     plan = common.cut(plan)  # one row a source
+    if plan.count() <= MAX_BROADCAST:  # else the join deals the documents out by source
+        plan = F.broadcast(plan)
     keyed = docs.withColumn("size", size).withColumn("_u", u)
     out = keyed.join(plan, keyed[source].eqNullSafe(plan["_source"]))
     at = F.floor(F.col("_u") * BUCKETS).cast("int")
