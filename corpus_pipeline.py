@@ -19,8 +19,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays."""
-    return simhash_dedup.without_near_duplicates(docs)
+    """One document of each group of near copies (0.8 of 5-word shingles in common) stays."""
+    return simhash_dedup.without_near_copies(docs)
 
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,3 +183,44 @@ def test_empty_tables(spark):
     assert simhash_dedup.near_duplicate_classes(none.select("doc_id", "text")).count() == 0
     assert substring_dedup.dedup_substrings(none).count() == 0
     assert fingerprints.edited_fingerprints(none).count() == 0
+
+
+def test_near_copies_are_found_and_verified(spark):
+    """Edited copies with a 5-word Jaccard similarity of 0.8 or more go; those below it and unrelated texts of a shared id stay."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rows, copies, others = [], set(), set()
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 250))]
+        rows.append((i, " ".join(base)))
+        edited = list(base)
+        for k in rng.sample(range(len(base)), max(1, len(base) * rng.randint(1, 5) // 100)):
+            edited[k] = rng.choice(words)
+        a, b = shingles(" ".join(base)), shingles(" ".join(edited))
+        (copies if len(a & b) >= 0.8 * len(a | b) else others).add(1000 + i)
+        rows.append((1000 + i, " ".join(edited)))
+    assert len(copies) > 50 and len(others) > 10
+    rows += [(1003, "an unrelated text " + " ".join(rng.choice(words) for _ in range(40))), (None, rows[0][1]), (2000, ""), (2001, None)]
+    out = simhash_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = {r.doc_id for r in out}
+    assert not ids & copies - {1003} and others <= ids and set(range(150)) <= ids
+    assert sum(r.doc_id is None for r in out) == 1 and ids & {2000, 2001} == {2000}
+    assert [r.text[:17] for r in out if r.doc_id == 1003][-1] == "an unrelated text"
+
+
+def test_a_crowd_of_near_copies_is_one(spark):
+    """Copies that differ from each other as well, in a bucket of several chunks."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(2500):
+        text = list(base)
+        for k in rng.sample(range(200), 2):
+            text[k] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    assert simhash_dedup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1

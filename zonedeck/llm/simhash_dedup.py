@@ -15,6 +15,13 @@ only the links that join its pieces, so its output is at most its input.
 Defined cases: texts without words have fingerprint zero, linked like any other;
 shorter texts than a shingle hash their whole word sequence; null text is empty;
 equal rows share a component; other columns are kept out of the way.
+
+Near copies (without_near_copies, the pipeline's stage) are texts whose sets of 5-word
+shingles have a Jaccard similarity of NEAR or more. Prints of such texts differ by more
+bits than blocks of bits can serve, so their buckets are bands of minimum hashes; in a
+bucket the same bit-sliced comparison picks what is within NEAR_RADIUS, and every link
+is verified on the sets. Pairs with a bucket's least text and with the one before come
+first; then all pairs that components still separate. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from .components import components
 CHUNK = 1024
 RADIUS = 2
 SEED = 42
+#: Near copies: words a shingle, least Jaccard similarity, bits that prints may differ by, bands of minimum hashes and hashes a band.
+NEAR_SIZE, NEAR, NEAR_RADIUS, BANDS, BAND_ROWS = 5, 0.8, 20, 16, 4
 
 
 def shingle_hashes(words: list[bytes], size: int = 3) -> np.ndarray:
@@ -163,6 +172,23 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns in parts that end with a group, a group being equal rows of the first columns."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [c.to_numpy(zero_copy_only=False).astype(np.int64) if pa.types.is_integer(c.type) else np.asarray(common.text_bytes(c), object) for c in batch.columns]
+        if rest is not None:
+            part = [np.concatenate(x) for x in zip(rest, part)]
+        ids = part[:keys]
+        new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in ids], axis=0)])
+        yield [x[: new[-1]] for x in part]
+        rest = [x[new[-1] :] for x in part]  # the last group may go on in the next batch
+    if rest is not None:
+        yield rest
+
+
 def link_classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Links (u, v) that connect what is within the radius, from distinct (fp, node)."""
     blocks = radius + 1
@@ -177,19 +203,7 @@ def link_classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
     dealt = rows.repartition("block", "bits", "ci", "cj").sortWithinPartitions("block", "bits", "ci", "cj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if rest is not None:
-                part = [np.concatenate(x) for x in zip(rest, part)]
-            ids = part[:4]
-            new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in ids], axis=0)])
-            yield links([x[: new[-1]] for x in part])
-            rest = [x[new[-1] :] for x in part]  # the last group may go on in the next batch
-        if rest is not None:
-            yield links(rest)
+        return map(links, whole_groups(batches, 4))
 
     def links(part: list[np.ndarray]) -> pa.RecordBatch:
         b, k, ci, cj, side, fp, node = part
@@ -221,6 +235,168 @@ def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = 3
     return docs.join(classes.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes of a text, ordered."""
+    return np.unique(shingle_hashes(text.lower().split(), NEAR_SIZE))
+
+
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED)
+    n = BANDS * BAND_ROWS
+    return r.integers(0, 1 << 64, n, np.uint64), r.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each band of minimum hashes, of a set that isn't empty."""
+    flips, factors = _MIXERS
+    least = np.full(len(flips), ~np.uint64(0))
+    for a in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[a : a + 4096, None] ^ flips) * factors).min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.asarray([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+
+
+_MIXERS = _mixers()
+SKETCHES = "doc_id long, t long, node long, fp long, bands array<long>"
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, node, fp, bands) of each row: t is a hash of the text, node one of its shingle set; no bands without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches, "text"):
+            sets = [shingle_set(t) for t in common.text_bytes(batch.column(2))]
+            node = np.asarray([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            fps = np.asarray([majority(s) for s in sets], np.uint64)
+            keys = [bands(s).view(np.int64) if len(s) else [] for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "fp", "bands"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, SKETCHES)
+
+
+def dealt_buckets(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(bits, ci, cj, side, fp, node, component) of the bands' buckets that hold several components, in chunks that meet pairwise."""
+    rows = nodes.select(F.explode("bands").alias("bits"), "fp", "node", "component")
+    shared = rows.groupBy("bits").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = shared.filter("low < high").select("bits", F.ceil(F.col("n") / chunk).alias("chunks"))
+    rows = rows.join(shared, "bits").withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
+    return rows.select("bits", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), side, "fp", "node", "component")
+
+
+def pairs_apart(part: list[np.ndarray], radius: int = NEAR_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) within the radius, of the same bucket and of different components."""
+    b, ci, cj, side, fp, _, component = part[:7]
+    if not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.r_[True, (b[1:] != b[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])]
+    i, j = near_pairs(fp.view(np.uint64), np.cumsum(change), side, radius)
+    apart = component[i] != component[j]
+    return i[apart], j[apart]
+
+
+def first_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (node, fp, bands, component): each with the least one and the one before it in a bucket, within the radius."""
+
+    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        (i, j), n, node = pairs_apart(part), len(part[0]), part[5]
+        low, last = np.full(n, n), np.full(n, -1)
+        np.minimum.at(low, j, i)
+        np.maximum.at(last, j, i)
+        at = np.flatnonzero(last >= 0)
+        i, j = np.r_[low[at], last[at]], np.r_[at, at]
+        return pa.record_batch([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    dealt = dealt_buckets(nodes).repartition("bits", "ci", "cj").sortWithinPartitions("bits", "ci", "cj", "node")
+    return dealt.mapInArrow(lambda batches: map(pairs, whole_groups(batches, 3)), "a long, b long").distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= NEAR * (len(x) + len(y) - same)
+
+
+def remaining_links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (u, v) of all pairs within the radius that components still separate, from dealt buckets and texts (node, text).
+
+    A task keeps the links that join its pieces and skips pairs they have joined already.
+    """
+
+    def links(part: list[np.ndarray]) -> pa.RecordBatch:
+        (i, j), node, component, text = pairs_apart(part), part[5], part[6], part[7]
+        sets: dict[int, np.ndarray] = {}
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        u, v = [], []
+        for p, q in zip(i.tolist(), j.tolist()):
+            a, b = top(int(component[p])), top(int(component[q]))
+            if a == b:
+                continue
+            for k in (p, q):
+                if node[k] not in sets:
+                    sets[node[k]] = shingle_set(text[k])
+            if alike(sets[node[p]], sets[node[q]]):
+                up[max(a, b)] = min(a, b)
+                u.append(node[p])
+                v.append(node[q])
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    dealt = buckets.join(texts, "node").select("bits", "ci", "cj", "side", "fp", "node", "component", "text")
+    dealt = dealt.repartition("bits", "ci", "cj").sortWithinPartitions("bits", "ci", "cj", "node")
+    return dealt.mapInArrow(lambda batches: map(links, whole_groups(batches, 3)), "u long, v long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v): the pairs (a, b) whose texts (node, text) have the similarity."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [alike(shingle_set(x), shingle_set(y)) for x, y in zip(common.text_bytes(batch.column(2)), common.text_bytes(batch.column(3)))]
+            kept = batch.select([0, 1]).filter(pa.array(both, pa.bool_()))
+            yield pa.record_batch(kept.columns, names=["u", "v"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+
+
+def near_copy_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, component_id) of the rows of docs (doc_id, text) that have an id: near copies share a component, its least id."""
+    rows = common.cut(sketches(docs).filter("doc_id IS NOT NULL"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    alone = nodes.select("node", "fp", "bands", F.col("node").alias("component"))
+    first = common.cut(first_pairs(alone))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        wanted = nodes.join(wanted.distinct(), "node").select("node", "row.doc_id", "row.t")
+        text = F.col("text").cast("string")
+        held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+        return held.join(wanted, ["doc_id", "t"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    links = common.cut(verified(first, texts(first.select(F.explode(F.array("a", "b")).alias("node")))))
+    classes = components(links)
+    named = alone.drop("component").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = common.cut(dealt_buckets(named))
+    more = common.cut(remaining_links(rest, texts(rest.select("node"))))
+    final = components(links.union(more))
+    found = rows.select("doc_id", "t", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    return found.join(least, "component", "left").select("doc_id", "t", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near copies, that of the least id; rows without an id stay."""
+    copies = near_copy_classes(docs.select("doc_id", "text")).filter("doc_id != component_id").select(F.col("doc_id").alias("_zd_d"), F.col("t").alias("_zd_t")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_zd_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_zd_t"))
+    return docs.join(copies, same, "left_anti").select(*docs.columns)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
