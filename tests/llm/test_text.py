@@ -273,3 +273,17 @@ def test_style_tree_removes_what_repeats(spark):
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Story number {i} of many" for i in range(200)}
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_style_tree_inside_article_and_main(spark):
+    """Repeating boxes inside the content element go, text beside a short article stays, and an article that never varies is kept."""
+    inner = "<div class='ka'>Same words here</div><div class='kb'><p>Story number {0} of many</p></div><div class='kc'><span>Always</span> this</div>"
+    pages = [f"<body><{tag}>{inner}</{tag}></body>" for tag in ("main", "article")]
+    pages.append("<body><div class='kd'>Part {0}</div><article><p>A much longer story of number {0} follows here</p></article></body>")
+    pages.append("<body><div class='ke'>Part {0}</div><article><p>The same notice</p></article></body>")
+    rows = [(200 * h + i, f"http://h{h}.example/", page.format(i)) for h, page in enumerate(pages) for i in range(200)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(200):
+        assert got[i] == got[200 + i] == f"Story number {i} of many"
+        assert got[400 + i] == f"Part {i}\nA much longer story of number {i} follows here"
+        assert got[600 + i] == f"Part {i}\nThe same notice"

@@ -8,8 +8,10 @@ what looks and reads alike on all pages is unimportant. A host with few pages le
 the same statistics over all hosts: importance is the mean of the two, the corpus
 weighing as PRIOR elements. Branches of less importance than THRESHOLD are removed
 from each page, as are those whose element or class says what they are (navigation,
-forms, adverts, comments, ...). Where what is left has an article that holds most of
-its text, that is the main text.
+forms, adverts, comments, ...). Inside article and main the host's own statistics decide,
+with INSIDE elements that are important: a branch there goes only if the host shows
+often enough that it repeats. An article or main that repeats as a whole is left
+as it is, and goes only if the page has another one with text.
 
 Statistics are summed within each task and then by host and node, so a host that has
 most pages stays spread out; a page is joined with its host's removed nodes only.
@@ -37,6 +39,7 @@ from . import common
 
 THRESHOLD = 0.4
 PRIOR = 50.0
+INSIDE = 10.0
 
 # Element names with a meaning of their own in HTML.
 BLOCKS = frozenset(
@@ -163,28 +166,24 @@ def features(root: Node) -> Iterator[tuple[int, int, int]]:
                 yield key, 1, content >> 1
 
 
-def main_text(root: Node, removed: frozenset[int] | set[int]) -> str:
-    """Blocks in page order that no removed branch holds."""
-    everything: list[str] = []
-    inside: list[str] = []
-
-    def walk(start: Node) -> None:
-        todo: list[tuple[Node | str, bool]] = [(start, False)]
-        while todo:
-            node, article = todo.pop()
-            if isinstance(node, str):
-                everything.append(node)
-                if article:
-                    inside.append(node)
-                continue
-            article = article or node.name in ("article", "main")
-            if beside(node) or not article and node.path and path_key(node.path) in removed:
-                continue
-            todo += [(c, article) for c in reversed(node.children)]
-
-    walk(root)
-    most = inside and 2 * sum(map(len, inside)) >= sum(map(len, everything))
-    return "\n".join(inside if most else everything)
+def main_text(root: Node, removed: frozenset[int] | set[int], inside: frozenset[int] | set[int]) -> str:
+    """Blocks in page order that no removed branch holds; inside article and main the second set is what is removed."""
+    blocks: list[tuple[str, int]] = []
+    todo: list[tuple[Node | str, int]] = [(root, 0)]
+    while todo:
+        node, place = todo.pop()  # place: 0 outside, 1 in an article or main, 2 in one that repeats as a whole
+        if isinstance(node, str):
+            blocks.append((node, place))
+            continue
+        if beside(node):
+            continue
+        if not place and node.name in ("article", "main"):
+            place = 2 if path_key(node.path) in inside else 1
+        elif node.path and place < 2 and path_key(node.path) in (inside if place else removed):
+            continue
+        todo += [(c, place) for c in reversed(node.children)]
+    varied = any(place == 1 for _, place in blocks)
+    return "\n".join(text for text, place in blocks if place < 2 or not varied)
 
 
 def host_of(url: str | None) -> str:
@@ -217,14 +216,16 @@ def _entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unimportant_nodes(pages: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
-    """(host, removed): the nodes of each host's tree that fall short of the threshold."""
+    """(host, removed, inside): the nodes of each host's tree that fall short of the threshold, outside and inside article and main."""
     counts = common.cut(style_statistics(pages).groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
     own = _entropy(counts, ["host", "node"])
     everywhere = _entropy(counts.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), ["node"])
     everywhere = everywhere.select("node", F.col("importance").alias("overall"))
     joined = own.join(everywhere, "node")
     mean = (F.col("m") * F.col("importance") + F.lit(prior) * F.col("overall")) / (F.col("m") + F.lit(prior))
-    return joined.filter(mean < threshold).groupBy("host").agg(F.collect_list("node").alias("removed"))
+    sure = (F.col("m") * F.col("importance") + F.lit(INSIDE)) / (F.col("m") + F.lit(INSIDE))
+    lists = [F.collect_list(F.when(x < threshold, F.col("node"))).alias(name) for x, name in ((mean, "removed"), (sure, "inside"))]
+    return joined.filter((mean < threshold) | (sure < threshold)).groupBy("host").agg(*lists)
 
 
 def host(url: Column) -> Column:
@@ -238,11 +239,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     trees = unimportant_nodes(pages)
-    joined = pages.withColumn("host", host(F.col("url"))).join(trees, "host", "left").select("page_id", "url", "html", "removed")
+    joined = pages.withColumn("host", host(F.col("url"))).join(trees, "host", "left").select("page_id", "url", "html", "removed", "inside")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, "html"):
-            texts = [main_text(parse(page or ""), set(removed or ())) for page, removed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(parse(page or ""), set(removed or ()), set(inside or ())) for page, removed, inside in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=TEXTS.names)
 
     return joined.mapInArrow(run, TEXTS)
