@@ -48,3 +48,19 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     go()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 4 and got.filter("error_code = 'E_RECORD_LENGTH'").count() == 1
+
+
+def test_large_fixed_width_files_give_the_same_rows(spark, tmp_path, monkeypatch):
+    """Names, numbers and short tails don't depend on a file's size; sizes of 700, 707, 701 (prime) and 5 bytes, records of 7."""
+    for name, size in (("a", 700), ("b [1]", 707), ("c", 701), ("d", 5), ("e", 1202)):
+        (tmp_path / f"{name}.bin").write_bytes(bytes((k * 31 + size) % 256 for k in range(size)))
+    (tmp_path / "f.bin").write_bytes(b"")
+
+    def rows():
+        return sorted((r.src_file, r.record_index, bytes(r.rec)) for r in records.fixed_width(spark, str(tmp_path), 7).collect())
+
+    want = rows()
+    assert len(want) == 100 + 101 + 101 + 1 + 172
+    for limit in (600, 703):
+        monkeypatch.setattr(records, "WHOLE_FILE", limit)
+        assert rows() == want

@@ -18,6 +18,8 @@ from ..plans.schema import MAX_RECORD_BYTES, Codec, Occurs, Plan
 
 #: Files up to this size are read whole and cut in the JVM; larger ones are split by record boundaries.
 WHOLE_FILE = 128 << 20
+#: Bytes at most that a larger file with a partial tail is read in at once.
+PIECE = 64 << 10
 #: Fixed value: what a tape image begins with.
 TAPE_MAGIC = b"COBOLVM-TAPE-1\n"
 
@@ -33,10 +35,41 @@ def fixed_width(spark: SparkSession, path: str, length: int) -> DataFrame:
     """(src_file, record_index, rec) of fixed-width files. A partial tail is a short record, which decoding reports and which is a file's last."""
     files = spark.read.format("binaryFile").load(path)
     # Sizes alone: the contents aren't read for this.
-    if (files.agg(F.max("length")).first()[0] or 0) <= WHOLE_FILE:
-        return files.select(F.col("path").alias("src_file"), F.posexplode(chunks(F.col("content"), length)).alias("record_index", "rec")).withColumn("record_index", F.col("record_index").cast("long"))
-    records = spark.sparkContext.binaryRecords(path, length).zipWithIndex()
-    return spark.createDataFrame(records.map(lambda x: (None, x[1], bytearray(x[0]))), "src_file string, record_index long, rec binary")
+    large = files.filter(F.col("length") > WHOLE_FILE).select("path", "length").collect()
+    small = files.filter(F.col("length") <= WHOLE_FILE)
+    out = small.select(F.col("path").alias("src_file"), F.posexplode(chunks(F.col("content"), length)).alias("record_index", "rec")).withColumn("record_index", F.col("record_index").cast("long"))
+    for file in large:
+        out = out.unionByName(split_file(spark, file["path"], file["length"], length))
+    return out
+
+
+def split_file(spark: SparkSession, path: str, size: int, length: int) -> DataFrame:
+    """The same of one file, read in splits. Spark's splitting reader needs pieces that divide the file.
+
+    Without a partial tail these are the records; otherwise they are cut at the records'
+    ends, and only the parts of records that lie in two pieces or more are dealt.
+    """
+    piece = length if size % length == 0 else next(n for n in range(PIECE, 0, -1) if size % n == 0)
+    escaped = "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(piece)}
+    read = spark.sparkContext.newAPIHadoopFile(escaped, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+
+    def cut(pieces: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytearray]]:
+        for k, data in pieces:
+            at, end = k * piece, (k + 1) * piece
+            while at < end:
+                stop = min(end, (at // length + 1) * length)
+                yield at // length, at, bytearray(data[at - k * piece : stop - k * piece])
+                at = stop
+
+    parts = spark.createDataFrame(read.mapPartitions(cut), "record_index long, at long, rec binary")
+    if piece != length:
+        due = F.least(F.lit(length), F.lit(size) - F.col("record_index") * length)
+        whole = F.octet_length("rec") == due
+        dealt = parts.filter(~whole).groupBy("record_index").agg(F.array_sort(F.collect_list(F.struct("at", "rec"))).alias("p"))
+        joined = dealt.select("record_index", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["rec"])).alias("rec"))
+        parts = parts.filter(whole).select("record_index", "rec").unionByName(joined)
+    return parts.select(F.lit(path).alias("src_file"), "record_index", "rec")
 
 
 def lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
