@@ -61,6 +61,7 @@ def test_large_fixed_width_files_give_the_same_rows(spark, tmp_path, monkeypatch
 
     want = rows()
     assert len(want) == 100 + 101 + 101 + 1 + 172
-    for limit in (600, 703):
+    for limit, piece in ((600, 1 << 16), (600, 40), (703, 40)):  # 40: records that lie in several pieces
         monkeypatch.setattr(records, "WHOLE_FILE", limit)
+        monkeypatch.setattr(records, "PIECE", piece)
         assert rows() == want
