@@ -119,6 +119,53 @@ def test_equal_ids_do_not_remove_each_other(spark):
     assert [r.n_removed for r in got] == [0, 0]
 
 
+def brute_by_row(rows, window=20):
+    """Removed words of each row: an equal window has a smaller id, or an earlier start in the row itself; null ids come first and are one id."""
+    docs = [(-(2**63) if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    least = {}
+    for i, words in docs:
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            least[w] = min(least.get(w, i), i)
+    out = []
+    for i, words in docs:
+        gone, own = set(), set()
+        for s in range(len(words) - window + 1):
+            w = tuple(words[s : s + window])
+            if least[w] < i or w in own:
+                gone.update(range(s, s + window))
+            own.add(w)
+        out.append((i, " ".join(words), len(gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_rows_that_share_an_id_keep_what_is_theirs(spark, batch):
+    """(0, A), (1, A), (1, Z): Z stays whole; so do other texts of an id or of none that has a copy or a passage."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
+    a, z, passage = some(50), some(60), some(30)
+    rows = [(0, a), (1, a), (1, z), (1, z), (1, f"{some(10)} {passage} {some(5)}"), (1, some(60)), (2, f"{passage} {some(9)} {passage}")]
+    rows += [(None, a), (None, f"{passage} {passage}"), (None, some(40)), (7, None), (7, ""), (7, some(25))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_by_row(rows)
+    assert (1, z, 0) in want
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, " ".join(WORD.findall(r.text or "")), r.n_removed) for r in got) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(25)]), t) for _, t in corpus(seed, 90)]
+    rows += rows[:10]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, " ".join(WORD.findall(r.text or "")), r.n_removed) for r in got) == brute_by_row(rows)
+
+
 def test_anchors_depend_on_the_window_alone():
     """Equal windows of different surroundings have equal anchors at equal places."""
     rng = random.Random(9)

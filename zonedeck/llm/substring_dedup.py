@@ -11,8 +11,10 @@ the one whose hash is least. Equal windows have equal anchors at the same place.
 0. Of documents with equal texts only the least id's goes on; the others are cut whole.
 1. Anchors whose name, with the words next to it, occurs once in the corpus are dropped
    with their windows.
-2. The windows at shared anchors get 96-bit hashes of all their words, which verify
-   them; a window is removed if an equal one starts earlier (smaller id, then place).
+2. The windows at shared anchors get 96 bits hashed from all their words, which verify
+   them: 64 from one half of the words' 128-bit hashes and 32 from the other half, so that
+   words whose names collide still differ. A window is removed if an equal one starts
+   earlier (in a row of smaller id, or in the same row).
 3. Words that a removed window covers are cut from their document.
 
 Every shuffle is keyed by name, window hash or document. Before a shuffle, repeats
@@ -21,18 +23,20 @@ surely removed, and a name that a slice has twice is surely shared), so that a v
 common passage sends a row or two a slice and not one an occurrence.
 
 Defined cases: null text has no words; documents shorter than a window lose nothing; a
-null id comes before all others; rows with equal ids count as one document (they don't
-precede each other at equal starts); an empty table gives an empty result.
+null id comes before all others; rows that share an id (or have none) are documents of
+their own of which none precedes another, so nothing that only they hold goes; rows equal
+in id and text lose the same words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,15 +47,33 @@ ROUNDS = 4
 CONTEXT = 6
 #: Words whose hashes a worker keeps before it starts anew.
 CACHE = 500_000
+#: Ids with several texts up to which they are sent to the documents.
+MAX_BROADCAST = 100_000
 _NULL_ID = -(2**63)
+KEY = ["_zd_d", "_zd_j"]
 
 
 class _Names(dict):
+    """Numbers the words a worker has seen; for each the two halves of its 128-bit hash, which are independent names."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self.halves = np.zeros((0, 2), np.uint64)
+
     def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(xxhash.xxh3_128_digest(word))
+        return n
+
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
         if len(self) >= CACHE:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+            self.halves = self.halves[:0]
+        index = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        if self.fresh:
+            self.halves = np.concatenate([self.halves, np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)])
+            self.fresh = []
+        return self.halves[index]
 
 
 _names = _Names()
@@ -69,14 +91,14 @@ def join_names(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Slice:
-    """The words of some documents one after another: names, and each document's first place."""
+    """The words of some documents one after another: names, second names, and each document's first place."""
 
     def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         self.sizes = np.asarray([len(w) for w in self.words], np.int64)
         self.first = np.r_[0, np.cumsum(self.sizes)]
-        get = _names.__getitem__
-        self.names = np.fromiter((get(w) for ws in self.words for w in ws), np.uint64, int(self.first[-1]))
+        halves = _names.of(chain.from_iterable(self.words), int(self.first[-1]))
+        self.names, self.checks = (np.ascontiguousarray(halves[:, k]) for k in (0, 1))
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
 
     def starts(self, window: int) -> np.ndarray:
@@ -155,26 +177,23 @@ def anchors(s: Slice, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
 
 def anchor_keys(s: Slice, name: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The anchors' names with the CONTEXT words from their beginning on."""
-    return join_names(name, window_hashes(s.names, CONTEXT)[0].view(np.uint64)[place], 13)
-
-
-def window_hashes(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a 32-bit hash of the window at each place (the last window - 1 places are of no use)."""
-    out = []
-    for salt in (11, 12):
-        acc, done, power, width = None, 0, mix(names + np.uint64(salt)), 1
-        left = window
-        while left:
-            if left & 1:
-                shifted = np.r_[power[done:], np.zeros(done, np.uint64)] if done else power
-                acc = shifted if acc is None else join_names(acc, shifted, salt)
-                done += width
-            left >>= 1
-            if left:
-                power = join_names(power, np.r_[power[width:], np.zeros(min(width, len(power)), np.uint64)][: len(power)], salt)
-                width *= 2
-        out.append(acc)
-    return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
+    return join_names(name, window_hash(s.names, CONTEXT, 11)[place], 13)
+
+
+def window_hash(names: np.ndarray, window: int, salt: int) -> np.ndarray:
+    """A hash of the window at each place (the last window - 1 places are of no use)."""
+    acc, done, power, width = None, 0, mix(names + np.uint64(salt)), 1
+    left = window
+    while left:
+        if left & 1:
+            shifted = np.r_[power[done:], np.zeros(done, np.uint64)] if done else power
+            acc = shifted if acc is None else join_names(acc, shifted, salt)
+            done += width
+        left >>= 1
+        if left:
+            power = join_names(power, np.r_[power[width:], np.zeros(min(width, len(power)), np.uint64)][: len(power)], salt)
+            width *= 2
+    return acc
 
 
 def _spread(n: int, ids: np.ndarray) -> np.ndarray:
@@ -183,26 +202,39 @@ def _spread(n: int, ids: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """docs with _zd_d, the id by which they are ordered, and _zd_copy: an equal text has a smaller id.
+    """docs with _zd_d, the id by which they are ordered, _zd_j, which tells rows of one id apart, and _zd_copy: an equal text has a smaller id.
 
+    (_zd_d, _zd_j) stands for rows that are equal in id and text. _zd_j is a hash of the text
+    where an id has several texts and 0 elsewhere, so that it costs the shuffles nothing.
     Whatever reads the texts starts from these rows with all their columns, so that Spark
-    deals the texts out by _zd_d once and uses that again.
+    deals the texts out by that key once and uses that again.
     """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
     rows = docs.withColumn("_zd_d", F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)))
-    digests = rows.select("_zd_d", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_zd_m"))
-    first = digests.groupBy("_zd_m").agg(F.min("_zd_d").alias("_zd_first"), F.max("_zd_d").alias("_zd_last")).filter("_zd_first < _zd_last").select("_zd_m", "_zd_first")
-    copies = digests.join(first, "_zd_m").filter("_zd_d > _zd_first").select("_zd_d").distinct().withColumn("_zd_copy", F.lit(True))
-    return rows.join(copies, "_zd_d", "left").withColumn("_zd_copy", F.coalesce("_zd_copy", F.lit(False)))
+    light = common.cut(rows.select("_zd_d", digest.alias("_zd_m")).distinct())
+    several = common.cut(light.groupBy("_zd_d").agg(F.count("*").alias("n")).filter("n > 1").select("_zd_d", F.lit(True).alias("_zd_several")))  # a row an id
+    if several.count() <= MAX_BROADCAST:  # else the join deals the documents out by id
+        several = F.broadcast(several)
+
+    def keyed(df: DataFrame, m: Column) -> DataFrame:
+        j = F.when(F.col("_zd_several"), F.xxhash64(m)).otherwise(F.lit(0).cast("long"))
+        return df.join(several, "_zd_d", "left").withColumn("_zd_j", j).drop("_zd_several")
+
+    rows, light = keyed(rows, digest), keyed(light, F.col("_zd_m"))
+    first = light.groupBy("_zd_m").agg(F.min("_zd_d").alias("_zd_first"), F.max("_zd_d").alias("_zd_last")).filter("_zd_first < _zd_last").select("_zd_m", "_zd_first")
+    # Cut: a join of two plain exchanges is one whose large partitions Spark can split.
+    copies = common.cut(light.join(common.cut(first), "_zd_m").filter("_zd_d > _zd_first").select("_zd_d", "_zd_j", F.lit(True).alias("_zd_copy")))
+    return rows.join(copies, KEY, "left").withColumn("_zd_copy", F.coalesce("_zd_copy", F.lit(False)))
 
 
 def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """(_zd_d, _zd_starts): the places, in words, of the windows that start earlier elsewhere, of all documents but copies."""
+    """(_zd_d, _zd_j, _zd_starts): the places, in words, of the windows that start earlier elsewhere, of all documents but copies."""
     rows = keyed.filter("NOT _zd_copy")
-    at_d, at_text = rows.columns.index("_zd_d"), rows.columns.index(text)
+    at_d, at_j, at_text = (rows.columns.index(c) for c in (*KEY, text))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text):
-            ids = batch.column(at_d).to_numpy()
+            ids, more = batch.column(at_d).to_numpy(), batch.column(at_j).to_numpy()
             s = Slice(common.text_bytes(batch.column(at_text)))
             start, name, place = anchors(s, window)
             if not len(start):
@@ -218,28 +250,23 @@ def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -
             key = np.where(known, _spread(len(at), ids[of]), name.view(np.int64))
             probes = np.unique(name[known]).view(np.int64)  # such a name still counts for other slices
             none = np.zeros(len(probes), np.int64)
-            yield pa.record_batch(
-                [
-                    pa.array(np.r_[key, probes]), pa.array(np.r_[ids[of], none]), pa.array(np.r_[packed, none - 1]),
-                    pa.array(np.r_[known, np.zeros(len(probes), bool)]),
-                ],
-                names=["name", "d", "packed", "known"],
-            )
+            columns = [np.r_[key, probes], np.r_[ids[of], none], np.r_[more[of], none], np.r_[packed, none - 1], np.r_[known, np.zeros(len(probes), bool)]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["name", "d", "j", "packed", "known"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, same, columns in _runs(batches, 1):
-            name, d, packed, known = columns
+            name, d, j, packed, known = columns
             again = same | np.r_[same[1:], False]  # the last row of all that came is held back by _runs
             take = (known | again | first) & (packed >= 0)
-            yield pa.record_batch([pa.array(d[take]), pa.array(packed[take])], names=["d", "packed"])
+            yield pa.record_batch([pa.array(d[take]), pa.array(j[take]), pa.array(packed[take])], names=["d", "j", "packed"])
 
-    found = rows.mapInArrow(find, "name long, d long, packed long, known boolean").repartition("name").sortWithinPartitions("name")
-    candidates = found.mapInArrow(shared, "d long, packed long").groupBy("d").agg(F.collect_list("packed").alias("packed"))
+    found = rows.mapInArrow(find, "name long, d long, j long, packed long, known boolean").repartition("name").sortWithinPartitions("name")
+    candidates = found.mapInArrow(shared, "d long, j long, packed long").groupBy("d", "j").agg(F.collect_list("packed").alias("packed"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text):
-            batch = batch.take(pa.array(np.argsort(batch.column(at_d).to_numpy(), kind="stable")))
-            ids = batch.column(at_d).to_numpy()
+            batch = batch.take(pa.array(np.lexsort((batch.column(at_j).to_numpy(), batch.column(at_d).to_numpy()))))
+            ids, more = batch.column(at_d).to_numpy(), batch.column(at_j).to_numpy()
             s = Slice(common.text_bytes(batch.column(at_text)))
             if len(s.names) < window:
                 continue
@@ -247,40 +274,50 @@ def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -
             flat, counts = packed.flatten().to_numpy(), packed.value_lengths().to_numpy(zero_copy_only=False)
             base = np.repeat(s.first[:-1], counts)
             begin, runs = base + flat // 64, flat % 64
-            last = np.repeat(s.first[1:], counts) - window  # rows that share an id may have starts of each other
             start = np.repeat(begin, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-            start = start[start <= np.repeat(last, runs)]
             if not len(start):
                 continue
             start = np.unique(start)
-            h, check = window_hashes(s.names, window)
-            h, check, of = h[start], check[start], s.doc[start]
+            h = window_hash(s.names, window, 11)[start].view(np.int64)
+            check = (window_hash(s.checks, window, 12)[start] >> np.uint64(33)).astype(np.int32)
+            of = s.doc[start]
+            pos = start - s.first[of]
             order = np.lexsort((start, check, h))
             same = np.r_[False, (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])]
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            pos = start - s.first[of]
-            lead = order[first]
+            past, _ = _past(same, ids[of[order]], more[of[order]], pos[order])
             earlier = np.zeros(len(start), bool)
-            earlier[order] = same & ((ids[of[order]] != ids[of[lead]]) | (pos[order] != pos[lead]))
+            earlier[order] = past
             key = np.where(earlier, _spread(len(start), ids[of]), h)
-            yield pa.record_batch([pa.array(key), pa.array(check), pa.array(ids[of]), pa.array(pos), pa.array(earlier)], names=["h", "c", "d", "start", "earlier"])
+            columns = [key, check, ids[of], more[of], pos, earlier]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["h", "c", "d", "j", "start", "earlier"])
+
+    joined = rows.join(candidates.toDF(*KEY, "_zd_packed"), KEY).select(*rows.columns, "_zd_packed")
 
-    joined = rows.join(candidates.toDF("_zd_d", "_zd_packed"), "_zd_d").select(*rows.columns, "_zd_packed")
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, going = None, False  # the row before, and whether it was past its run's first place
-        for _, same, (h, c, d, start, earlier) in _runs(batches, 2):
-            other = np.r_[before is None or before != (d[0], start[0]), (d[1:] != d[:-1]) | (start[1:] != start[:-1])]
-            run = np.cumsum(~same)
-            moved = np.cumsum(same & other)
-            base = np.r_[0, moved[~same]]
-            past = (moved - base[run] > 0) | (run == 0) & going
-            before, going = (d[-1], start[-1]), bool(past[-1])
+        before = None
+        for _, same, (h, c, d, j, start, earlier) in _runs(batches, 2):
+            past, before = _past(same, d, j, start, before)
             take = past | earlier
-            yield pa.record_batch([pa.array(d[take]), pa.array(start[take])], names=["d", "start"])
+            yield pa.record_batch([pa.array(d[take]), pa.array(j[take]), pa.array(start[take])], names=["d", "j", "start"])
+
+    dealt = joined.mapInArrow(verify, "h long, c int, d long, j long, start long, earlier boolean").repartition("h", "c")
+    windows = dealt.sortWithinPartitions("h", "c", "d", "j", "start")
+    return windows.mapInArrow(late, "d long, j long, start long").groupBy(F.col("d").alias("_zd_d"), F.col("j").alias("_zd_j")).agg(F.collect_list("start").alias("_zd_starts"))
 
-    # Of a window's rows in order, all but the first are late. Equal places of rows that share an id are one place.
-    windows = joined.mapInArrow(verify, "h long, c int, d long, start long, earlier boolean").repartition("h", "c").sortWithinPartitions("h", "c", "d", "start")
-    return windows.mapInArrow(late, "d long, start long").groupBy(F.col("d").alias("_zd_d")).agg(F.collect_list("start").alias("_zd_starts"))
+
+def _past(same: np.ndarray, d: np.ndarray, j: np.ndarray, start: np.ndarray, before: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Which rows of equal windows, ordered by d, j and start, an earlier one precedes: one of a smaller d, or of the same d and j at a smaller start.
+
+    same: the window equals that of the row before. before: what an earlier call returned second, to go on from.
+    """
+    low, first, key = before or (0, 0, None)  # of the window and row that may go on: least id, first start, (d, j)
+    at = np.arange(len(d))
+    head = np.maximum.accumulate(np.where(same, -1, at))
+    other = np.r_[not same[0] or key != (d[0], j[0]), ~same[1:] | (d[1:] != d[:-1]) | (j[1:] != j[:-1])]
+    own = np.maximum.accumulate(np.where(other, at, -1))
+    lowest = np.where(head >= 0, d[np.maximum(head, 0)], low)
+    begin = np.where(own >= 0, start[np.maximum(own, 0)], first)
+    return (d != lowest) | (start != begin), (lowest[-1], begin[-1], (d[-1], j[-1]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -340,7 +377,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id
     """docs with n_words, n_removed, and kept_text: the words left, by one space, or the text as it was if none went."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     keyed = _keyed(docs.select(*names), ident, text)
-    joined = keyed.join(removed_starts(keyed, window, text), "_zd_d", "left").select(*names, "_zd_copy", "_zd_starts")
+    joined = keyed.join(removed_starts(keyed, window, text), KEY, "left").select(*names, "_zd_copy", "_zd_starts")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
