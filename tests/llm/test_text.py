@@ -14,7 +14,7 @@ from zonedeck.llm import extraction, importance, mixing, packing, token_counts,
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
     "Hello,  world\n\nthis is\ta test.", "one", "", None, " \n ", "Ünïcödé wörds — and 漢字 😀 x", "don't stop'll 123,456 %%% a.b.c", "a" * 5000,
-    "word " * 3000, "tail space ", " lead", "a \n b", "x,y. z... end.", "<|endoftext|> plain",
+    "word " * 3000, "tail space ", " lead", "a \n b", "x,y. z... end.", "<|endoftext|> plain", "a <|endoftext|> plain<|endoftext|>", "x <|endoftext|><|endoftext|>  y\n<|endoftext",
 ]
 
 
@@ -27,7 +27,6 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     capacity = 64
     got = packing.pack_documents(docs(spark, size=F.lit(1)), capacity=capacity).collect()
     by = {}

@@ -68,18 +68,19 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return majority(shingle_hashes(text.lower().split(), size))  # bytes.lower() changes A-Z only
 
 
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("fp", T.LongType())])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed number."""
+    """(doc_id, t, fp) of each row: t is a hash of the text, fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, "text"):
-            fps = np.asarray([fingerprint(t, size) for t in common.text_bytes(batch.column(1))], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=PRINTS.names)
+            fps = np.asarray([fingerprint(t, size) for t in common.text_bytes(batch.column(2))], np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=PRINTS.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PRINTS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, PRINTS)
 
 
 def near_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -221,18 +222,24 @@ def link_classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
 
 
 def near_duplicate_classes(docs: DataFrame, radius: int = RADIUS, size: int = 3, prints: DataFrame | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
+    """(doc_id, t, fp, component_id) of every row of docs (doc_id, text)."""
     prints = common.cut(fingerprints(docs, size)) if prints is None else prints
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     classes = components(link_classes(nodes.filter("node IS NOT NULL"), radius))
     named = nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "t", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = 3) -> DataFrame:
-    """docs with one document of each component, that of the least id; rows without an id stay."""
-    classes = near_duplicate_classes(docs.select("doc_id", "text"), radius, size)
-    return docs.join(classes.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each component, that of the least id; rows without an id stay, as do other texts of an id that goes."""
+    return _without(docs, near_duplicate_classes(docs.select("doc_id", "text"), radius, size))
+
+
+def _without(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs without the rows, known by id and text, whose component (doc_id, t, component_id) has a smaller id."""
+    gone = classes.filter("doc_id != component_id").select(F.col("doc_id").alias("_zd_d"), F.col("t").alias("_zd_t")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_zd_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_zd_t"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -392,9 +399,7 @@ def near_copy_classes(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near copies, that of the least id; rows without an id stay."""
-    copies = near_copy_classes(docs.select("doc_id", "text")).filter("doc_id != component_id").select(F.col("doc_id").alias("_zd_d"), F.col("t").alias("_zd_t")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_zd_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_zd_t"))
-    return docs.join(copies, same, "left_anti").select(*docs.columns)
+    return _without(docs, near_copy_classes(docs.select("doc_id", "text")))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
