@@ -151,8 +151,36 @@ def test_mix_against_sql(spark, tmp_path):
     assert abs(sum(t for _, t, _ in totals.values()) - sum(s for *_, s in totals.values())) < 1e-6
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Documents of a class come in with its probability, unequal between classes; the probabilities fill the source's rest."""
+    rng = random.Random(3)
+    rows = [(i, "a" if i < 6000 else "b", " ".join(["w"] * rng.choice([1, 3, 6, 14, 40, 200]))) for i in range(9000)]
+    got = mixing.pareto_mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        whole = min(r.copies for r in mine)
+        rest = mine[0].target - whole * mine[0].source_size
+        weights = {}
+        for r in mine:
+            weights.setdefault(r.size.bit_length(), []).append(r)
+        words = {k: sum(r.size for r in v) for k, v in weights.items()}
+        c = next(c for c in (x / 1e6 for x in range(1, 10**6)) if sum(w * min(1, c * k) for k, w in words.items()) >= rest)
+        assert sum(r.size * (r.copies - whole) for r in mine) == pytest.approx(rest, abs=101)
+        shares = []
+        for k, v in sorted(weights.items()):
+            p, share = min(1, c * k), np.mean([r.copies - whole for r in v])
+            shares.append(share)
+            assert abs(share - p) <= 4 * (p * (1 - p) / len(v)) ** 0.5 + 0.01, (source, k, p, share)
+        assert shares[-1] > 2 * shares[0]
+
+
 def test_mix_repeats_rows_and_keeps_columns(spark):
     rows = [(1, "a", "w w", 9), (1, "a", "w w", 9), (2, "a", "w", 8), (None, None, "w w w", 7)]
+    many = [(None, f"s{i % 3}", f"w {i} x", 0) for i in range(600)] + [(7, "s0", f"w {i} y z", 0) for i in range(300)]
+    totals = {}
+    for r in mixing.pareto_mix(spark.createDataFrame(many, "doc_id long, source string, text string, taken int")).collect():
+        totals.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(target - taken) <= 4 for target, taken in totals.values())  # missing and shared ids are no one unit
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, taken int")
     out = mixing.pareto_mix(df).collect()
     assert len(out) == 4 and len({r.copies for r in out if r.doc_id == 1}) == 1
@@ -230,7 +258,7 @@ def test_importance_against_brute_force(spark):
     assert len(got) == len(rows)
     ranked = sorted(got, key=lambda r: (-r.key, r.doc_id))
     k = -(-len(rows) // 2)
-    assert sum(r.keep for r in got) >= k and all(r.keep for r in ranked[:k])
+    assert sum(r.keep for r in got) == k and all(r.keep for r in ranked[:k])
     raw = np.bincount(importance.ngram_buckets([(t or "").encode() for _, t in rows])[0], minlength=importance.BUCKETS)
     target = np.bincount(importance.ngram_buckets([(t or "").encode() for i, t in rows if i < 200 and i % 2 == 0 and i % 4])[0], minlength=importance.BUCKETS)
     ratios = importance.log_ratios(target.astype(float), raw.astype(float))
@@ -238,7 +266,9 @@ def test_importance_against_brute_force(spark):
         text = dict(rows)[r.doc_id] or ""
         b, n = importance.ngram_buckets([text.encode()])
         if r.doc_id != 201:
-            assert r.log_weight == pytest.approx(100 * ratios[b].mean() if n[0] else importance.EMPTY)
+            assert r.log_weight == pytest.approx(ratios[b].sum() if n[0] else importance.EMPTY)
+            assert importance.log_weight([text.encode()], ratios, 100.0)[0] == pytest.approx(100 * ratios[b].mean() if n[0] else importance.EMPTY)
+    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.5, length=100.0).collect()
     assert np.mean([r.keep for r in got if r.doc_id < 200 and r.doc_id % 4 == 0]) < 0.3
 
 
@@ -250,6 +280,18 @@ def test_top_k_with_ties(spark, k):
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k])
 
 
+@pytest.mark.parametrize("k", [1, 3, 5, 9, 15])
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_top_k_of_equal_rows_and_null_ids(spark, monkeypatch, k, few):
+    """Exactly k rows, whatever ids repeat or are missing; equal keys by id, null first."""
+    monkeypatch.setattr(importance, "_FEW", few)
+    rows = [(1, 2.0)] * 7 + [(None, 2.0)] * 3 + [(5, 2.0), (0, 9.0), (None, 1.0), (2, 1.0), (2**62, 2.0), (-(2**62), 2.0)]
+    got = importance.top_k(spark.createDataFrame(rows, "doc_id long, key double"), k).collect()
+    assert len(got) == len(rows)
+    order = lambda r: (-r[1], -(2**63) if r[0] is None else r[0])
+    assert sorted(map(order, ((r.doc_id, r.key) for r in got if r.keep))) == sorted(map(order, rows))[:k]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No &amp; title</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="sidebar"><p>Other stories</p></div><article><header><h1>Title &lt;{0}&gt;</h1></header><p><b>First  para

@@ -2,19 +2,20 @@
 
 Two generative models of hashed n-grams (words and word pairs, BUCKETS buckets) are
 counted: the target over texts labelled good (at most MAX_GOOD of them, those with the
-least hash of the id), the raw one over all texts. A document's log weight
-is the mean log ratio of its n-grams, target over raw, times LENGTH: as if every
-document had that many, so that long ones aren't favoured. Gumbel noise hashed from
-the id is added and the k highest keys are the sample, k the share of good labels
-times the number of documents unless a share is given.
+least hash of the id), the raw one over all texts. A document's log weight is the log of
+the ratio of the probabilities that the two models give it: the sum of its n-grams' log
+ratios. `length` gives instead the mean times that number, as if every document had so
+many n-grams, which doesn't favour long ones. Gumbel noise hashed from id and text is
+added and the k highest keys are the sample, k the share of good labels times the
+number of documents unless a share is given.
 
-The k-th key comes from histograms that narrow down on it, then from the rows of one
-bin; keys are never gathered.
+The k-th key comes from histograms that narrow down on it, then on ids and rows among
+equal keys; rows are never gathered.
 
 Defined cases: null and empty texts, which have no n-grams, have log weight EMPTY;
-equal keys go to the smaller id; a document labelled twice counts once if either
-label is good; without any good label all log weights are 0; other columns are not
-looked at.
+equal keys go to the smaller id, null first; of rows equal in id and text any may be
+taken, but exactly k rows are; a document labelled twice counts once if either label is
+good; without any good label all log weights are 0; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,18 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 BUCKETS = 10_000
-LENGTH = 100.0
-EMPTY = -100.0
+EMPTY = -1e6
 CACHE = 500_000
 #: The bound of the labelled sample that the target is counted over.
 MAX_GOOD = 20_000
 _BINS, _FEW = 4096, 20_000
+_NULL_ID = -(2**63)
 
 
 class _Hashes(dict):
@@ -88,54 +90,72 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def log_weight(texts: list[bytes], ratios: np.ndarray) -> np.ndarray:
+def log_weight(texts: list[bytes], ratios: np.ndarray, length: float | None = None) -> np.ndarray:
+    """Log of the ratio of the models' probabilities of each text; length: as if each had so many n-grams."""
     bucket, n = ngram_buckets(texts)
     sums = np.zeros(len(n))
     some = np.flatnonzero(n)
     if len(some):
         sums[some] = np.add.reduceat(ratios[bucket], (np.cumsum(n) - n)[some])
-    return np.where(n > 0, LENGTH * sums / np.maximum(n, 1), EMPTY)
+    return np.where(n > 0, sums if length is None else length * sums / np.maximum(n, 1), EMPTY)
 
 
-def gumbel(ident: Column, seed: str = "importance") -> Column:
+def gumbel(ident: Column, text_hash: Column, seed: str = "importance") -> Column:
     from .mixing import uniform
 
-    return -F.log(-F.log(uniform(ident, seed)))
+    return -F.log(-F.log(uniform(F.concat_ws(":", ident.cast("string"), text_hash.cast("string")), seed)))
+
+
+def kth(rows: DataFrame, column: str, k: int, descending: bool = False) -> tuple[float, int, int]:
+    """(value, before, equal): the k-th value of a numeric column without nulls, the rows before it, and those equal to it."""
+    x, whole = F.col(column), not isinstance(rows.schema[column].dataType, T.DoubleType)
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    before, inside = 0, rows
+    while low != high:
+        width = (high - low) // _BINS + 1 if whole else (high - low) / _BINS
+        if whole and width == 1 or not whole and low + width == low:
+            at = x  # few values are left
+        elif whole:
+            at = F.expr(f"cast(({column} - cast({low} as decimal(20,0))) div {width} as int)")
+        else:
+            at = F.least(F.floor((x - low) / width), F.lit(_BINS - 1)).cast("int")
+        # Some thousand rows at most: a bin or a value each.
+        bins = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).collect()
+        for r in sorted(bins, key=lambda r: r["at"], reverse=descending):
+            if before + r["n"] >= k:
+                break
+            before += r["n"]
+        low, high, n = r["a"], r["b"], r["n"]
+        inside = rows.filter(x.between(F.lit(low), F.lit(high)))
+        if low == high:
+            return low, before, n
+        if n <= _FEW:
+            values = sorted((v for (v,) in inside.select(x).collect()), reverse=descending)
+            value = values[k - before - 1]
+            return value, before + values.index(value), values.count(value)
+    return low, before, inside.count()
 
 
 def top_k(keyed: DataFrame, k: int) -> DataFrame:
-    """keyed (doc_id, key, ...; checkpointed) with keep: whether the row is among the k highest (key, then smaller id)."""
-    low, high, n = keyed.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if k <= 0 or not n:
-        return keyed.withColumn("keep", F.lit(False))
-    if k >= n:
-        return keyed.withColumn("keep", F.lit(True))
-    above = 0  # rows over `high`
-    inside = keyed
-    while True:
-        width = (high - low) / _BINS
-        if width <= 0 or low + width == low:
-            break
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(_BINS - 1)).cast("int")
-        bins = sorted(((r["at"], r["n"], r["a"], r["b"]) for r in inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()), reverse=True)
-        for _, m, a, b in bins:  # _BINS rows at most
-            if above + m >= k:
-                break
-            above += m
-        low, high = a, b
-        inside = keyed.filter((F.col("key") >= low) & (F.col("key") <= high))
-        if m <= _FEW or low == high:
+    """keyed (doc_id, key, ...) with keep: whether the row is among the k highest keys, of equal ones those of smaller id, null first; exactly k are."""
+    names = keyed.columns
+    rows = common.cut(keyed.withColumn("_zd_id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("_zd_row", F.monotonically_increasing_id()))
+    total = rows.count()
+    if k <= 0 or k >= total:
+        return rows.withColumn("keep", F.lit(k > 0)).select(*names, "keep")
+    taken, tied, left, some = F.lit(False), F.lit(True), k, rows
+    for column, descending in (("key", True), ("_zd_id", False), ("_zd_row", False)):
+        value, before, equal = kth(some, column, left, descending)
+        x = F.col(column)
+        taken = taken | (tied & ((x > value) if descending else (x < value)))
+        tied, left = tied & (x == value), left - before
+        if left == equal:
             break
-    if low == high:  # equal keys: by id, within blocks of ids so that they needn't meet in one task
-        order = Window.orderBy("doc_id")
-    else:
-        order = Window.orderBy(F.desc("key"), "doc_id")
-    last = inside.select("key", "doc_id").withColumn("at", F.row_number().over(order)).filter(F.col("at") == k - above).first()
-    over = (F.col("key") > last["key"]) | (F.col("key") == last["key"]) & (F.col("doc_id") <= last["doc_id"])
-    return keyed.withColumn("keep", over)
+        some = some.filter(x == value)
+    return rows.withColumn("keep", taken | tied).select(*names, "keep")
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, length: float | None = None) -> DataFrame:
     """(doc_id, log_weight, key, keep) of every row of docs (doc_id, text)."""
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # Bounded, so that the texts needn't be dealt out to meet the labels.
@@ -147,10 +167,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, "text"):
-            yield pa.record_batch([batch.column(0), pa.array(log_weight(common.text_bytes(batch.column(1)), shared.value))], names=["doc_id", "log_weight"])
+            weights = pa.array(log_weight(common.text_bytes(batch.column(2)), shared.value, length))
+            yield pa.record_batch([batch.column(0), batch.column(1), weights], names=["doc_id", "t", "log_weight"])
 
-    weights = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double")
-    keyed = common.cut(weights.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))))
+    text = F.col("text").cast("string")
+    weights = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, log_weight double")
+    keyed = common.cut(weights.select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"), F.col("t"))).alias("key")))
     return top_k(keyed, math.ceil(share * keyed.count()))
 
 
