@@ -328,3 +328,80 @@ def test_style_tree_inside_article_and_main(spark):
         assert got[i] == got[200 + i] == f"Story number {i} of many"
         assert got[400 + i] == f"Part {i}\nA much longer story of number {i} follows here"
         assert got[600 + i] == f"Part {i}\nThe same notice"
+
+
+def site(seed=7, n=240):
+    """Pages of three hosts, one of them with two thirds, from blocks that repeat, vary or come now and then."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    some = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    rows = []
+    for i in range(n):
+        host = f"h{0 if i % 3 else 1 + i % 2}.example"
+        boxes = [f"<div class='k{j}'><p>{f'Box {j} of {host}' if j % 2 else some(4)}</p>{'<ul><li>a<li>b</ul>' if rng.random() < 0.5 else ''}</div>" for j in range(6)]
+        rng.shuffle(boxes)
+        inner = "".join(boxes[:3]) + f"<p>{some(12)}</p>"
+        rows.append((i, f"https://{host}/{i}", f"<body>{''.join(boxes[3:])}<main id='m{i}'>{inner}</main><section>All rights</section></body>"))
+    return rows
+
+
+def brute_trees(rows):
+    """Nodes of each host below the threshold, outside and within the content element, counted page by page."""
+    import math
+
+    own, every = {}, {}
+    for _, url, page in rows:
+        for node, kind, value in extraction.features(extraction.parse(page)):
+            for counts, key in ((own, (extraction.host_of(url), node)), (every, node)):
+                at = counts.setdefault(key, ({}, {}))[kind]
+                at[value] = at.get(value, 0) + 1
+
+    def importance(kinds):
+        shares = [(sum(c.values()), -sum(n / sum(c.values()) * math.log(n / sum(c.values())) for n in c.values())) for c in kinds if c]
+        return max(m for m, _ in shares), max(h / math.log(m) if m > 1 else 1.0 for m, h in shares)
+
+    outside, within = set(), set()
+    for (host, node), kinds in own.items():
+        m, e = importance(kinds)
+        if (m * e + extraction.PRIOR * importance(every[node])[1]) / (m + extraction.PRIOR) < extraction.THRESHOLD:
+            outside.add((host, node))
+        if (m * e + extraction.INSIDE) / (m + extraction.INSIDE) < extraction.THRESHOLD:
+            within.add((host, node))
+    return outside, within
+
+
+def test_style_tree_against_brute_force(spark, monkeypatch):
+    """The trees' removed nodes, and the texts that they leave, whichever way the nodes reach the pages."""
+    rows = site()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes = extraction.unimportant_nodes(df).collect()
+    outside, within = brute_trees(rows)
+    assert {(r.host, r.node) for r in nodes if r.outside} == outside and {(r.host, r.node) for r in nodes if r.within} == within
+    assert len(outside) > 5 and len(within) > 5
+    of = lambda pairs, url: {n for h, n in pairs if h == extraction.host_of(url)}
+    want = {i: extraction.main_text(extraction.parse(page), of(outside, url), of(within, url)) for i, url, page in rows}
+    assert {r.page_id: r.text for r in extraction.extract(df).collect()} == want
+    monkeypatch.setattr(extraction, "MAX_NODES", 0)
+    assert {r.page_id: r.text for r in extraction.extract(df).collect()} == want
+    plain = {i: extraction.main_text(extraction.parse(page), set(), set()) for i, _, page in rows}
+    assert sum(want[i] != plain[i] for i in want) > 200  # the trees, not the names, decide here
+
+
+@pytest.mark.parametrize("page", ['<a "' * 100_000, "<a " * 200_000, '<a x="' * 100_001, "<div class=x>" * 50_000, "<header>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, "<h1>" * 100_000 + "x", "<" * 200_000, "<!--" * 100_000, "<p " + "class " * 100_000 + ">", "<li><ul>" * 50_000])
+def test_odd_pages_are_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    root = extraction.parse(page)
+    extraction.main_text(root, set(), set())
+    sum(1 for _ in extraction.features(root))
+    assert time.process_time() - began < 20  # quadratic reading takes hours
+
+
+def test_tags():
+    text = lambda page: extraction.main_text(extraction.parse(page), set(), set())
+    assert text("a < b <c> d") == "a < b d"
+    assert text("<p title=it's>one</p><p data-id=ad>two</p><p id='x > y'>three") == "one\ntwo\nthree"
+    assert text('<p class="ad">no</p><p title="</p>">yes</p><!-- <p>no</p> --><?no?></>!') == "yes\n!"
+    assert text("<script>if (a < b) '</p>'</script>x<textarea><p>no</textarea>y<p>cut <b") == "xy\ncut"
+    assert text("<table><tr><td>a<td>b<tr><td>c</table>d<ul><li>e<p>f<li>g</ul>") == "a\nb\nc\nd\ne\nf\ng"
