@@ -199,6 +199,40 @@ def test_fingerprints_of_edited_texts(spark):
     assert got[rows[[t for _, t in rows].index("")][0]].fp == 0
 
 
+@pytest.mark.parametrize("range_rows", [1, 7, 10_000])
+def test_next_documents_of_odd_ids(spark, monkeypatch, range_rows):
+    """Far ids, missing and repeated ones, equal rows; whatever the ranges."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", range_rows)
+    rng = random.Random(range_rows)
+    some = lambda: " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30)))
+    rows = [(i, some()) for i in range(40)] + [(10**15, some()), (-5, some()), (None, some()), (None, some()), (3, "another text"), (7, None), (7, None)]
+    rows += [rows[4]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {(r.doc_id, r.t): r.h for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
+    texts = sorted(hashes, key=lambda x: (-(2**63) if x[0] is None else x[0], hashes[x]))
+    want = {}
+    for k, (i, text) in enumerate(texts):
+        q = len(text) // 4
+        want[i, text] = hashlib.sha256((text[: len(text) - q] + texts[(k + 1) % len(texts)][1][:q]).encode()).hexdigest()
+    got = fingerprints.edited_fingerprints(df).collect()
+    full = [(i, t or "") for i, t in rows]
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1:])) == sorted(((i, len(t), want[i, t]) for i, t in full), key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
+
+
+def test_near_prints_are_counted(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = [b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(10)] + base[:3] * 2
+    signed = [x - 2**64 if x >= 2**63 else x for x in prints]
+    rows = [(i if i % 31 else None, x) for i, x in enumerate(signed)]
+    got = fingerprints.with_near_prints(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = sum(0 < (x ^ r.fp % 2**64).bit_count() <= 3 for x in set(prints))
+        assert r.near_prints == (want if r.doc_id is not None and r.doc_id % 20 == 0 else None)
+    assert sum(r.near_prints or 0 for r in got) > 20
+
+
 def test_votes_against_brute_force(spark):
     text = "alpha beta Gamma beta alpha beta verylongwordindeed x"
     words = text.split()

@@ -222,6 +222,24 @@ def test_every_row_gets_a_score(spark):
     assert {r.score for r in toxicity.toxicity_scores(texts, labels.filter("toxic = 0")).collect()} == {0.0}
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """One row an id however often it repeats, and no more bytes than the bound."""
+    texts, labels = labelled(spark, 300)
+    many = texts.union(spark.createDataFrame([(4, "again " * 30)] * 500 + [(8, None)], "doc_id long, text string"))
+    sample, toxic = toxicity.training_sample(many, labels)
+    assert len(sample) == len(toxic) == labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 5000)
+    sample, toxic = toxicity.training_sample(many, labels)
+    assert 3000 < sum(map(len, sample)) <= 5000 and set(toxic) == {0.0, 1.0}
+
+
+def test_short_passages_lie_whole_in_a_window():
+    doc, place = toxicity.windows(np.asarray([200]))
+    held = [set(row.tolist()) for row in place]
+    n = toxicity.WINDOW - toxicity.STRIDE
+    assert all(any(set(range(a, a + n)) <= h for h in held) for a in range(200 - n + 1))
+
+
 def test_window_cover_and_gradients():
     doc, place = toxicity.windows(np.asarray([0, 1, 32, 33, 80]))
     for d, n in enumerate([0, 1, 32, 33, 80]):

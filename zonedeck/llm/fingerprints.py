@@ -5,21 +5,26 @@ each term's XXH64 votes on 64 signed bits with its weight. Votes are summed two
 number, so 32 sums and the total weight decide all bits.
 
 Searches within a Hamming radius use permuted block tables: the bits are cut into
-radius + 1 blocks, one table keyed by each; fingerprints within the radius agree in a
-block, and a pair is reported by the first table in which it meets.
+radius + PREFIX blocks, and each table is keyed by another choice of PREFIX of them, put
+in front. Prints within the radius differ in `radius` blocks at most, so they agree in the
+key of some table; with a radius of 3 that key has 31 to 33 bits, so few others do. A pair is
+reported by the first table in which it meets.
 
-The next document in the order of ids comes from ranges of ids: the rows of a range
-are ordered in one task, and the first rows of the next range are dealt to it as well.
+The order of ids is found on (id, hash of the text) alone; the texts are dealt out once
+by that key, and of the next document only the letters that are needed go to the one
+before it.
 
 Defined cases: null text is empty; a text without words has fingerprint zero; a null
-id comes before all others; rows of one id are ordered by text; the next document of
-an only one is itself; an empty table gives an empty result; other columns are not
-looked at.
+id comes before all others; rows of one id are ordered by a hash of the text, and rows
+equal in id and text have the same next document, the next different one; the next
+document of an only one is itself; an empty table gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +32,12 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_WEIGHT = 16
-#: Documents that a range of ids aims at, and ranges at most (the bound of what is collected and broadcast).
-RANGE_ROWS, MAX_RANGES = 500, 20_000
+#: Documents that are put in order in one task, a few numbers each.
+RANGE_ROWS = 200_000
+#: Blocks of bits in the key of a permuted table.
+PREFIX, RADIUS = 3, 3
 _NULL_ID = -(2**63)
+KEY = ["_k", "_h"]
 
 
 def fingerprint_rows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -57,79 +65,100 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-class Ranges:
-    """Ranges of ids and, for each, the least id and the range before it."""
+def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """(_k, _h, text): id and text hash, by which documents are ordered."""
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID)).alias("_k"), F.xxhash64(content).alias("_h"), content.alias("text"))
 
-    def __init__(self, docs: DataFrame, ident: str):
-        self.spark, self.key = docs.sparkSession, F.coalesce(F.col(ident).cast("long"), F.lit(_NULL_ID))
-        row = docs.select(F.col(ident).cast("long").alias("k")).agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).first()
-        low, high = row["a"] or 0, row["b"] or 0
-        n = max(1, min(MAX_RANGES, row["n"] // RANGE_ROWS))
-        width = float((high - low) // n + 1)
-        part = F.floor((F.col(ident).cast("double") - F.lit(float(low))) / F.lit(width)).cast("int")
-        self.part = F.coalesce(F.greatest(part, F.lit(0)), F.lit(0))
-        parts = sorted((r["part"], r["k"]) for r in docs.select(self.part.alias("part"), self.key.alias("k")).groupBy("part").agg(F.min("k").alias("k")).collect())  # MAX_RANGES + 1 rows at most
-        before = [(p, k, parts[i - 1][0]) for i, (p, k) in enumerate(parts)]
-        self.firsts = F.broadcast(self.spark.createDataFrame(before or [(0, 0, 0)], "part int, k long, before int"))
 
-
-def with_next(docs: DataFrame, ranges: Ranges, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, k, text, at, next_text): at is the place within part."""
-    rows = docs.select(ranges.part.alias("part"), ranges.key.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    first = rows.join(ranges.firsts, ["part", "k"]).select(F.col("before").alias("part"), "k", "text", F.lit(1).alias("ahead"))
-    dealt = rows.withColumn("ahead", F.lit(0)).unionByName(first)
-    order = Window.partitionBy("part").orderBy("ahead", "k", "text")
-    placed = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
-    return placed.filter("ahead = 0").select("part", "k", "text", "at", "next_text")
+def following(keyed: DataFrame) -> DataFrame:
+    """(_k, _h, n_chars, _nk, _nh) of each different (_k, _h): the next one in order, cyclic. Checkpointed."""
+    light = common.cut(keyed.select("_k", "_h", F.length("text").cast("long").alias("n_chars")).groupBy(*KEY).agg(F.max("n_chars").alias("n_chars")))
+    parts = max(1, light.count() // RANGE_ROWS)
+    ranged = common.cut(light.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy(*KEY)
+    placed = ranged.withColumn("next", F.lead(F.struct(*KEY)).over(order))
+    # One row a range: its least key is what follows the range before it.
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(*KEY)).alias("least"))
+    everything = Window.orderBy("part")
+    after = firsts.select("part", F.coalesce(F.lead("least").over(everything), F.min("least").over(Window.partitionBy())).alias("least"))
+    following_ = F.coalesce("next", "least")
+    return common.cut(placed.join(after, "part").select(*KEY, "n_chars", following_["_k"].alias("_nk"), following_["_h"].alias("_nh")))
 
 
 def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp): see op7."""
-    ranges = Ranges(docs, ident)
-    n = F.length("text").cast("long")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - quarter).cast("int")), F.substring(F.col("next_text"), F.lit(1), quarter))
-    pair = with_next(docs, ranges, ident, text).select("part", "k", "at", "text", edited.alias("edited"))
-    facts = pair.select("part", "k", "at", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = pair.select("part", "at", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprint_rows(both.select("part", "at", F.col("x.kind").alias("kind"), F.col("x.text").alias("text")), ["part", "at", "kind"])
-    prints = prints.groupBy("part", "at").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
-    rows = facts.join(prints, ["part", "at"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("fp", "edited_fp")})
-    rows = common.cut(rows)  # a few numbers a document; the next step reads them twice
-    first = rows.filter("at = 1").join(ranges.firsts.select("part", "before"), "part").select(F.col("before").alias("part"), F.lit(2**31 - 1).alias("at"), "fp")
-    ahead = rows.select("part", (F.col("at") - 1).alias("at"), "fp").filter("at > 0")
-    last = rows.groupBy("part").agg(F.max("at").alias("last")).join(first.select("part", "fp"), "part").select("part", F.col("last").alias("at"), "fp")
-    following = ahead.unionByName(last).withColumnRenamed("fp", "next_fp")
-    out = rows.join(following, ["part", "at"])
-    return out.select(F.when(F.col("k") != _NULL_ID, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
-
-
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp) of every row: see op7."""
+    keyed = _keyed(docs, ident, text)
+    after = following(keyed)
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    texts = keyed.dropDuplicates(KEY)  # equal rows are one within each task already
+    wanted = after.select(F.col("_nk").alias("_k"), F.col("_nh").alias("_h"), F.col("_k").alias("_pk"), F.col("_h").alias("_ph"), quarter.alias("q"))
+    heads = texts.join(wanted, KEY).select(F.col("_pk").alias("_k"), F.col("_ph").alias("_h"), F.col("q"), F.substring(F.col("text"), F.lit(1), F.col("q")).alias("head"))
+    n = F.length("text")
+    pair = texts.join(heads, KEY).select(*KEY, "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("q")), "head").alias("edited"))
+    facts = pair.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
+    both = pair.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    prints = fingerprint_rows(both.select(*KEY, F.col("x.kind").alias("kind"), F.col("x.text").alias("text")), [*KEY, "kind"])
+    prints = prints.groupBy(*KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
+    rows = facts.join(prints, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("fp", "edited_fp")})
+    rows = common.cut(rows)  # a few numbers a document; what follows reads them twice
+    of_next = rows.select(F.col("_k").alias("_nk"), F.col("_h").alias("_nh"), F.col("fp").alias("next_fp"))
+    out = rows.join(after, KEY).join(of_next, ["_nk", "_nh"]).select(*KEY, "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    back = keyed.select(*KEY).join(out, KEY)  # every row again, equal ones too
+    return back.select(F.when(F.col("_k") != _NULL_ID, F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+
+
+def block_tables(radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """The blocks (first bit, bits) in the key of each table."""
+    n = radius + PREFIX
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    return [[(edges[k], edges[k + 1] - edges[k]) for k in chosen] for chosen in combinations(range(n), PREFIX)]
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(query_fp, fp, distance): the distinct fingerprints (column fp) of prints within the radius of those of queries.
 
     One row a pair of distinct values; membership is by the value itself, so copies aren't
-    multiplied. A hot block key is a skewed side of an inner join, which adaptive execution splits.
+    multiplied. A hot key is a skewed side of an inner join, which adaptive execution splits.
     """
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    blocks = [(k, a, (1 << (b - a)) - 1) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(name, a).bitwiseAND(F.lit(m)).alias("bits")) for k, a, m in blocks])
+    tables = block_tables(radius)
+
+    def key(fp: Column, blocks: list[tuple[int, int]]) -> Column:
+        """The table's blocks side by side: the prefix of the permuted print."""
+        out, at = F.lit(0).cast("long"), 0
+        for first, bits in blocks:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1)), at))
+            at += bits
+        return out
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        keys = F.array(*[F.struct(F.lit(t).alias("block"), key(F.col(name), blocks).alias("bits")) for t, blocks in enumerate(tables)])
         return df.select(name, F.explode(keys).alias("x")).select(name, "x.block", "x.bits")
 
-    q = tables(queries.select(F.col("fp").alias("query_fp")).distinct(), "query_fp")
-    p = tables(prints.select("fp").distinct(), "fp")
+    q = dealt(queries.select(F.col("fp").alias("query_fp")).distinct(), "query_fp")
+    p = dealt(prints.select("fp").distinct(), "fp")
     met = q.join(p, ["block", "bits"])
     differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
-    first = F.lit(len(blocks))
-    for k, a, m in reversed(blocks):
-        first = F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit(m)) == 0, k).otherwise(first)
+    first = F.lit(len(tables))
+    for t, blocks in reversed(list(enumerate(tables))):
+        mask = sum(((1 << bits) - 1) << at for at, bits in blocks)
+        mask -= (1 << 64) if mask >> 63 else 0
+        first = F.when(differ.bitwiseAND(F.lit(mask).cast("long")) == 0, t).otherwise(first)
     return met.filter((F.bit_count(differ) <= radius) & (F.col("block") == first)).select("query_fp", "fp", F.bit_count(differ).alias("distance"))
 
 
+def with_near_prints(rows: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
+    """rows (doc_id, fp, ...) with near_prints: for ids divisible by `every`, how many other fingerprints lie within the radius, else null."""
+    asked = rows.filter(F.pmod("doc_id", F.lit(every)) == 0).select("fp")
+    near = within_radius(asked, rows, radius).filter("distance > 0").groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near_prints"))
+    near = asked.distinct().join(near, "fp", "left").select("fp", F.coalesce("near_prints", F.lit(0).cast("long")).alias("near_prints"))
+    joined = rows.join(near, "fp", "left")
+    return joined.withColumn("near_prints", F.when(F.pmod("doc_id", F.lit(every)) == 0, F.col("near_prints")))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edited_fingerprints(common.table(spark, sf_dir, "documents"))
+    rows = with_near_prints(common.cut(edited_fingerprints(common.table(spark, sf_dir, "documents"))))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "near_prints",
     )

@@ -2,12 +2,14 @@
 
 A word's input is a hashed word embedding plus the mean embedding of its hashed
 character (byte) n-grams. The network reads windows of WINDOW words, one every
-STRIDE words, so that neighbours overlap; attention weighs its states, and the pooled state gives the window's logit. A
-document's score is that of its highest window; every window of every whole text is
-scored.
+STRIDE words, so that neighbours overlap and any passage of up to WINDOW - STRIDE words
+lies whole in one of them; attention weighs its states, and the pooled state gives the
+window's logit. A document's score is that of its highest window; every window of every
+whole text is scored.
 
 Training takes at most MAX_TOXIC + MAX_CLEAN labelled documents (those with the least
-hash of the id in each class) that are not held out, so the fit costs the same at any
+hash of the id in each class) that are not held out, one row an id, without those over
+MAX_TEXT bytes, as far as they have MAX_BYTES together, so the fit costs the same at any
 size. A document's label holds for its highest window: each epoch scores all windows
 of the sample and takes a gradient step on the highest of each document (and on a
 second one of clean documents). The first embedding dimension starts from the log odds
@@ -27,18 +29,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 12, 8
 BUCKETS = 1 << 15
 NGRAMS = (4, 5)
-#: The bound of the training sample, in documents.
-MAX_TOXIC, MAX_CLEAN = 1000, 1500
+#: The bounds of the training sample: documents of each class, UTF-8 bytes of one and of all.
+MAX_TOXIC, MAX_CLEAN, MAX_TEXT, MAX_BYTES = 1000, 1500, 512 << 10, 32 << 20
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Gradient steps at least; a small sample gets more epochs.
 STEPS = 150
@@ -389,9 +391,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [usable.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in ((1, max_toxic), (0, max_clean))]
     chosen = F.broadcast(some[0].union(some[1]))  # max_toxic + max_clean rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable").drop_duplicates("doc_id")
-    return [(t or "").encode() for t in rows["text"]], rows["toxic"].to_numpy(np.float32)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).filter(F.octet_length("text") <= MAX_TEXT).join(chosen, "doc_id")
+    # One row an id before any text is gathered: aggregated within the tasks first.
+    one = found.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("r")).select("doc_id", "r.*")
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = one.withColumn("upto", upto).filter(F.col("upto") <= MAX_BYTES).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
+    return [t.encode() for t in rows["text"]], rows["toxic"].to_numpy(np.float32)
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
