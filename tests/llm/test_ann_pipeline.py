@@ -41,6 +41,28 @@ def test_recall_and_exact_distances(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_the_limit_tightens():
+    """Later parts of a scan are judged by what earlier ones brought: fewer survive than under the first limit, and the nearest stay."""
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((3000, 32)), rng.standard_normal((1, 32))
+    turn = ann.rotation(32)
+    limits, kept = [], ann.surviving
+
+    def seen(blocks, query, limit, dim):
+        limits.append(limit)
+        return kept(blocks, query, limit, dim)
+
+    ann.surviving = seen
+    try:
+        _, rows, d = ann.scan(q, q @ turn, np.asarray([-1]), x, x @ turn, np.arange(3000), 10)
+    finally:
+        ann.surviving = kept
+    assert len(limits) > 2 and all(a > b for a, b in zip(limits, limits[1:]))
+    exact = np.sqrt(((x - q) ** 2).sum(axis=1))
+    assert len(set(rows.tolist()) & set(np.argsort(exact)[:10].tolist())) >= 9
+    assert np.allclose(d, exact[rows])
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.rank) for r in sorted(ann.nearest(df, df.filter("vec_id = 0")).collect(), key=lambda r: r.rank)] == [(1, 2), (2, 1)][::-1]

@@ -1,17 +1,21 @@
 """Approximate nearest neighbours: adaptive dimension scan within probed lists.
 
-Lists come from k-means on a bounded sample (SAMPLE vectors, those with the least hash
-of the id); every vector is assigned to a list. Vectors are rotated by a random
-orthogonal matrix, so that a few of the rotated dimensions estimate a distance. Within
-a list, candidates lie in blocks of columns; after each block a hypothesis test
-abandons those whose partial distance shows them to be farther than the query's k-th
-nearest so far. What is left gets its exact distance on the original vectors.
+Lists come from k-means on a bounded sample (those with the least hash of the id); there
+are as many as the root of the number of vectors, MAX_LISTS at most, and the sample
+grows with them, up to MAX_SAMPLE vectors. Every vector is assigned to a list. Vectors are
+rotated by a random orthogonal matrix, so that a few of the rotated dimensions estimate a
+distance. Within a list, candidates come in parts, each some times as large as the one
+before; a part lies in blocks of columns, and after each block a hypothesis test abandons
+those whose partial distance shows them to be farther than the query's k-th nearest of the
+parts before, so the limit tightens as the scan goes on. What is left gets its exact
+distance on the original vectors.
 
 How many lists are probed is set on the sample: enough for the share `recall` of the
 true neighbours there (which lie farther apart than in the whole table).
 
 A list's candidates are dealt into chunks of about CHUNK and its queries into blocks of
-about QUERIES, which meet one task at a time; a chunk returns k rows a query.
+about QUERIES, which meet one task at a time; a chunk returns k rows a query. Beyond
+MAX_LISTS squared vectors the lists themselves grow, and the work a query with them.
 
 Defined cases: vectors null, zero, of another length than most of the sample, or with
 null or non-finite components take no part; rows of one id count as one vector each
@@ -30,8 +34,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 20_000
-MAX_LISTS = 1024
+#: The sample's size: so many vectors, or PER_LIST a list, MAX_SAMPLE at most.
+SAMPLE, PER_LIST, MAX_SAMPLE = 20_000, 16, 131_072
+MAX_LISTS = 8192
+#: Candidates of the first part of a scan, and by how much the next ones grow.
+FIRST, GROWTH = 64, 4
 CHUNK, QUERIES = 4096, 1024
 BLOCK = 16
 #: Of the hypothesis test; the larger, the fewer true neighbours are abandoned.
@@ -92,32 +99,30 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, k: int, recall: float, que
 def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, exact distance): for each query at least its k nearest of the chunk that no test abandoned.
 
-    q, x original; qr, xr rotated. The first candidates set a threshold; the rest go
-    through the rotated dimensions a block of columns at a time.
+    q, x original; qr, xr rotated. The first part is measured whole and sets a limit; later
+    parts go through the rotated dimensions a block of columns at a time, and what they
+    bring tightens it.
     """
     dim = x.shape[1]
-    blocks = [np.ascontiguousarray(xr[:, a : a + BLOCK].T) for a in range(0, dim, BLOCK)]
-    head = min(len(x), max(4 * k, 64))
+    ends = [min(len(x), max(4 * k, FIRST))]
+    while ends[-1] < len(x):
+        ends.append(min(len(x), ends[-1] * (1 + GROWTH)))
+    parts = [(a, b, [np.ascontiguousarray(xr[a:b, d : d + BLOCK].T) for d in range(0, dim, BLOCK)]) for a, b in zip(ends, ends[1:])]
     out_q, out_x, out_d = [], [], []
     for i in range(len(q)):
-        exact = np.sqrt(((x[:head] - q[i]) ** 2).sum(axis=1))
-        exact[x_ids[:head] == q_ids[i]] = np.inf
-        limit = np.partition(exact, k - 1)[k - 1] if head >= k else np.inf
-        alive, partial = np.arange(head, len(x)), np.zeros(len(x) - head)
-        for b, block in enumerate(blocks):
-            if not len(alive):
-                break
-            a = b * BLOCK
-            part = block if len(alive) == len(x) else block[:, alive]
-            partial = partial + ((part - qr[i, a : a + BLOCK][: len(block), None]) ** 2).sum(axis=0)
-            done = min(dim, a + BLOCK)
-            # As if the rest of the dimensions were like these; the margin shrinks with those seen.
-            slack = 1 + EPSILON / np.sqrt(done) if done < dim else 1 + 1e-9
-            stay = partial * (dim / done) <= (limit * slack) ** 2
-            alive, partial = alive[stay], partial[stay]
-        rows = np.r_[np.arange(head), alive]
-        dist = np.r_[exact, np.sqrt(((x[alive] - q[i]) ** 2).sum(axis=1))]
+        rows = np.arange(ends[0])
+        dist = np.sqrt(((x[: ends[0]] - q[i]) ** 2).sum(axis=1))
         dist[x_ids[rows] == q_ids[i]] = np.inf
+        for a, b, blocks in parts:
+            limit = np.partition(dist, k - 1)[k - 1] if len(dist) >= k else np.inf
+            alive = surviving(blocks, qr[i], limit, dim) + a
+            if not len(alive):
+                continue
+            more = np.sqrt(((x[alive] - q[i]) ** 2).sum(axis=1))
+            more[x_ids[alive] == q_ids[i]] = np.inf
+            rows, dist = np.r_[rows, alive], np.r_[dist, more]
+            best = np.lexsort((x_ids[rows], dist))[:k]
+            rows, dist = rows[best], dist[best]
         best = np.lexsort((x_ids[rows], dist))[:k]
         best = best[np.isfinite(dist[best])]
         out_q.append(np.full(len(best), i))
@@ -126,13 +131,34 @@ def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_d)
 
 
+def surviving(blocks: list[np.ndarray], query: np.ndarray, limit: float, dim: int) -> np.ndarray:
+    """Candidates that no test abandons; blocks: their rotated dimensions, BLOCK at a time."""
+    alive = np.arange(blocks[0].shape[1])
+    if not np.isfinite(limit):
+        return alive
+    partial = np.zeros(len(alive))
+    for b, block in enumerate(blocks):
+        part = block if len(alive) == block.shape[1] else block[:, alive]
+        partial = partial + ((part - query[b * BLOCK : b * BLOCK + len(block), None]) ** 2).sum(axis=0)
+        done = min(dim, (b + 1) * BLOCK)
+        # As if the rest of the dimensions were like these; the margin shrinks with those seen.
+        slack = 1 + EPSILON / np.sqrt(done) if done < dim else 1 + 1e-9
+        stay = partial * (dim / done) <= (limit * slack) ** 2
+        alive, partial = alive[stay], partial[stay]
+        if not len(alive):
+            break
+    return alive
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of vectors to each row of queries, by Euclidean distance."""
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
     base, asked = pick(vectors), pick(queries)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow()
+    lists = max(1, min(MAX_LISTS, int(base.count() ** 0.5)))
+    size = min(MAX_SAMPLE, max(SAMPLE, PER_LIST * lists))
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(size).select("x").toArrow()
     if not sample.num_rows:
         return empty
     column = sample.column("x").combine_chunks()
@@ -140,8 +166,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     dim = int(np.bincount(lengths).argmax())
     x = matrix(column.filter(pa.array(lengths == dim)))
     base, asked = base.filter(F.size("x") == dim), asked.filter(F.size("x") == dim)
-    total = base.count()
-    centres = kmeans(x, max(1, min(MAX_LISTS, int(total**0.5))))
+    centres = kmeans(x, lists)
     probes = probes_needed(x, centres, k, recall)
     shared = spark.sparkContext.broadcast((centres, rotation(dim)))  # MAX_LISTS + dim vectors
 
