@@ -19,7 +19,7 @@ def test_fixed_width_and_tape_round_trip(spark, tmp_path):
     whole = b"".join(p.read_bytes() for p in sorted(Path(tmp_path / "out").glob("part-*.bin")))
     assert whole == b"".join(bytes(b) for _, b in data)
     sinks.write_tape(df.filter("record_index < 3"), str(tmp_path / "t"))
-    assert list(records.tape_blocks((tmp_path / "t").read_bytes())) == [bytes(b) for _, b in data[:3]]
+    assert list(records.tape_blocks((tmp_path / "t" / "part-00000.bin").read_bytes())) == [bytes(b) for _, b in data[:3]]
 
 
 def test_row_and_audit_sinks(spark, tmp_path):

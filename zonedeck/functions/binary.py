@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .digits import ladder, unscaled
+from .digits import ladder, scaled, units
 
 
 @dataclass(frozen=True)
@@ -29,30 +29,35 @@ class Binary:
         return 2 if digits <= 4 else 4 if digits <= 9 else 8
 
     def _turn(self, h: Column) -> Column:
-        pairs = [F.substring(h, 2 * k + 1, 2) for k in range(self.byte_len)]
-        return h if self.endian == "big" else F.concat(*reversed(pairs))
+        """The hexadecimal digits in the other byte order, if the field has it."""
+        if self.endian == "big":
+            return h
+        return F.regexp_replace(h, "(..)" * self.byte_len, "".join(f"${k}" for k in range(self.byte_len, 0, -1)))
 
     def decode(self, data: Column) -> Column:
         """struct<value decimal(20 or 19, scale), sign_nibble, sign_class, error_code>."""
         error = ladder((F.octet_length(data) != self.byte_len, "E_LENGTH"))
-        bits = 8 * self.byte_len
-        raw = F.conv(self._turn(F.hex(data)), 16, 10).cast("decimal(20,0)")
-        if self.signed:
-            raw = F.when(raw >= F.lit(str(2 ** (bits - 1))).cast("decimal(20,0)"), raw - F.lit(str(2**bits)).cast("decimal(20,0)")).otherwise(raw)
-        value = raw.cast("decimal(20,0)")
-        if self.scale:
-            value = (value * F.lit("0." + "1".rjust(self.scale, "0")).cast(f"decimal({self.scale},{self.scale})")).cast(f"decimal(20,{self.scale})")
+        h, bits = self._turn(F.hex(data)), 8 * self.byte_len
+        if self.byte_len == 8:
+            number = F.conv(h, 16, -10 if self.signed else 10)
+        else:
+            number = F.conv(h, 16, 10).cast("bigint")
+            if self.signed:  # the sign bit to the top and back
+                number = F.shiftright(F.shiftleft(number, 64 - bits), 64 - bits)
+        value = scaled(number.cast("decimal(20,0)"), self.scale).cast(f"decimal(20,{self.scale})")
         none = F.lit(None).cast("string")
         return F.when(data.isNotNull(), F.struct(F.when(error.isNull(), value).alias("value"), none.alias("sign_nibble"), none.alias("sign_class"), error.alias("error_code")))
 
     def encode(self, value: Column) -> Column:
-        digits, lost, negative = unscaled(value, self.scale)
-        whole = F.when(F.length(digits) <= 20, digits).cast("decimal(21,0)")
-        whole = F.when(negative, -whole).otherwise(whole)
+        number, lost, negative = units(value, self.scale, 20)
         bits = 8 * self.byte_len
-        low, high = (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1) if self.signed else (0, 2**bits - 1)
-        outside = whole.isNull() | (whole < F.lit(str(low)).cast("decimal(21,0)")) | (whole > F.lit(str(high)).cast("decimal(21,0)"))
-        error = ladder((lost, "E_PRECISION"), (outside, "E_OVERFLOW"))
-        turned = F.when(whole < 0, whole + F.lit(str(2**bits)).cast("decimal(21,0)")).otherwise(whole)
-        h = F.lpad(F.conv(turned.cast("decimal(20,0)").cast("string"), 10, 16), 2 * self.byte_len, "0")
+        # The largest magnitudes on either side of zero.
+        low, high = (2 ** (bits - 1), 2 ** (bits - 1) - 1) if self.signed else (0, 2**bits - 1)
+        limit = F.when(negative, F.lit(str(low)).cast("decimal(20,0)")).otherwise(F.lit(str(high)).cast("decimal(20,0)"))
+        error = ladder((lost, "E_PRECISION"), (F.coalesce(number > limit, F.lit(True)), "E_OVERFLOW"))
+        if self.signed or bits < 64:
+            h = F.hex(F.when(negative, -number).otherwise(number).try_cast("bigint"))  # two's complement
+        else:
+            h = F.conv(number.cast("string"), 10, 16)
+        h = F.right(F.lpad(h, 16, "0"), F.lit(2 * self.byte_len))
         return F.when(value.isNotNull(), F.struct(F.when(error.isNull(), F.unhex(self._turn(h))).alias("bytes"), error.alias("error_code")))

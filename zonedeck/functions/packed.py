@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .digits import as_decimal, ladder, unscaled
+from .digits import as_decimal, ladder, units
 
 #: Sign nibbles that each mode accepts, for signed and unsigned fields.
 ACCEPTED = {
@@ -80,8 +80,8 @@ class Packed:
 
         sign: nibble to write instead of the canonical one; it must agree with the value (zero takes any).
         """
-        digits, lost, negative = unscaled(value, self.scale)
-        zero = digits == "0"
+        number, lost, negative = units(value, self.scale)
+        zero = F.coalesce(number == 0, F.lit(False))
         minus = negative & ~zero
         canonical = F.when(minus, "D").otherwise("C") if self.signed else F.lit("F")
         steps = []
@@ -89,14 +89,14 @@ class Packed:
             steps.append((minus, "E_SIGN"))
         if strict:
             steps.append((lost, "E_PRECISION"))
-        steps.append((F.length(digits) > self.digits, "E_OVERFLOW"))
+        steps.append((number.isNull() | (number > self.max_unscaled), "E_OVERFLOW"))
         nibble = canonical
         if sign is not None:
             nibble = F.regexp_replace(F.upper(sign), "^0X", "")
             allowed = F.when(zero, nibble.rlike("^[A-F]$" if self.signed else "^[ACEF]$")).when(minus, nibble.isin("B", "D")).otherwise(nibble.isin("A", "C", "E", "F"))
             steps.append((~F.coalesce(allowed, F.lit(False)), "E_SIGN"))
         error = ladder(*steps)
-        data = F.unhex(F.concat(F.lpad(digits, 2 * self.byte_len - 1, "0"), nibble))
+        data = F.unhex(F.concat(F.lpad(number.cast("string"), 2 * self.byte_len - 1, "0"), nibble))
         return F.when(value.isNotNull(), F.struct(F.when(error.isNull(), data).alias("bytes"), error.alias("error_code")))
 
     def decode_lossless(self, data: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .digits import as_decimal, ladder, unscaled
+from .digits import as_decimal, ladder, units
 
 #: The last byte's letters in ASCII overpunch, for digits 0 to 9.
 PLUS, MINUS = "{ABCDEFGHI", "}JKLMNOPQR"
@@ -67,11 +67,11 @@ class Zoned:
 
     def encode(self, value: Column) -> Column:
         """struct<bytes, error_code>; never drops digits."""
-        digits, lost, negative = unscaled(value, self.scale)
-        minus = negative & (digits != "0")
+        number, lost, negative = units(value, self.scale)
+        minus = negative & F.coalesce(number != 0, F.lit(True))
         steps = [] if self.signed else [(minus, "E_SIGN")]
-        error = ladder(*steps, (lost, "E_PRECISION"), (F.length(digits) > self.digits, "E_OVERFLOW"))
-        full = F.lpad(digits, self.digits, "0")
+        error = ladder(*steps, (lost, "E_PRECISION"), (number.isNull() | (number >= 10**self.digits), "E_OVERFLOW"))
+        full = F.lpad(number.cast("string"), self.digits, "0")
         lead, last = F.substring(full, 1, self.digits - 1), F.substring(full, self.digits, 1)
         if self.encoding == "ebcdic":
             sign = F.when(minus, "D").otherwise("C") if self.signed else F.lit("F")

@@ -1,7 +1,10 @@
 """Records to rows: the long relation (a row a field), the wide one (a column a field), and back to bytes.
 
-A plan becomes one projection of built-in expressions over the record's bytes; there is
-no shuffle and no Python on the way.
+A plan becomes projections of built-in expressions over the record's bytes; there is no
+shuffle and no Python on the way. Records with tables are cut into their fields' bytes
+first, a row each, and the rows decoded after that by the codec they need, so that a codec's
+expression stands in the plan once however many elements a record has. Only skipping
+records with tables decodes inside arrays, because there a record's rows must stay together.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packed import sign_class
-from ..plans.schema import Field, Gap, Item, Occurs, Plan, Redefines
+from ..plans.schema import Codec, Field, Gap, Item, Occurs, Plan, Redefines
 
 VERSION = 1
 #: Bytes of raw data that a row shows, and the long relation's columns.
@@ -63,7 +66,11 @@ def slim(field: Column, offset: Column, data: Column, value: Column, nibble: Col
 def finish(rows: DataFrame) -> DataFrame:
     """The long relation, with pos, from (record_index, rows). A failed row shows its last byte's low nibble, whatever its codec."""
     # outer: else the optimizer adds a filter on the array's size, which doubles the whole expression.
-    flat = rows.select("record_index", F.posexplode_outer("rows").alias("pos", "r")).filter("pos IS NOT NULL").select("record_index", "pos", "r.*")
+    return finished(rows.select("record_index", F.posexplode_outer("rows").alias("pos", "r")).filter("pos IS NOT NULL").select("record_index", "pos", "r.*"))
+
+
+def finished(flat: DataFrame) -> DataFrame:
+    """finish() of rows that stand for themselves already."""
     flat = flat.withColumn("data", F.coalesce("data", F.unhex(F.lit(""))))
     bad, last = F.col("error_code").isNotNull(), F.right(F.hex("data"), F.lit(1))
     some = F.octet_length("data") > 0
@@ -199,6 +206,74 @@ def with_rows(records: DataFrame, plan: Plan, verify: bool = False, fields: list
     return df.select("record_index", F.when(F.col("_whole").isNotNull(), bad).otherwise(F.concat(*arrays)).alias("rows"))
 
 
+def pieces(plan: Plan, rec: Column, fields: list[str] | None = None) -> tuple[Column, list[Codec]]:
+    """(array of (codec, field, offset, data) of a record with tables, the codecs): the bytes of each row of the long relation."""
+    codecs: list[Codec] = []
+
+    def piece(f: Field, name: Column, at: Column) -> Column:
+        if f.codec not in codecs:
+            codecs.append(f.codec)
+        return F.struct(F.lit(codecs.index(f.codec)).alias("codec"), name.alias("field"), at.cast("int").alias("offset"), bytes_at(rec, at, f.length).alias("data"))
+
+    def of_table(t: Occurs, base: Column, name) -> Column:
+        def element(i: Column) -> Column:
+            inner = lambda path: F.concat(name(t.path), F.lit("["), i.cast("string"), F.lit("]"), F.lit(path[len(t.path) + 2 :]))
+            at = base + t.offset + i * t.element_len
+            parts = []
+            for item in t.items:
+                if isinstance(item, Occurs):
+                    parts.append(of_table(item, at, inner))
+                elif isinstance(item, (Field, Redefines)):
+                    inside = [item] if isinstance(item, Field) else [f for v in item.variants for f in v.items if isinstance(f, Field)]
+                    shift = 0 if isinstance(item, Field) else item.offset
+                    parts.append(F.array(*[piece(f, inner(f.path), at + shift + f.offset) for f in inside]))
+            return F.concat(*parts)
+
+        return F.flatten(F.transform(_indices(count_of(t, rec)), element))
+
+    arrays = []
+    for x in slots([i for i in plan.items if not fields or i.path in fields]):
+        if isinstance(x, Occurs):
+            arrays.append(of_table(x, F.lit(0), lambda path: F.lit(path)))
+            continue
+        f, at, selector = x
+        shown = F.lit(f.path)
+        if selector:
+            by, want = selector
+            value = by.codec.as_text(by.codec.decode(bytes_at(rec, by.offset, by.length))["value"])
+            shown = F.concat(shown, F.when(value == want, ":selector-active").otherwise(":selector-inactive"))
+        arrays.append(F.array(piece(f, shown, F.lit(at))))
+    return F.concat(*arrays), codecs
+
+
+def decoded_pieces(records: DataFrame, plan: Plan, verify: bool = False, fields: list[str] | None = None) -> DataFrame:
+    """The long relation, with pos, of a plan with tables: rows first, then their decoding."""
+    rec, none = F.col("rec"), F.lit(None).cast("string")
+    found, codecs = pieces(plan, rec, fields)
+    held = records.select("record_index", "rec", record_error(plan, rec).alias("_whole"))
+    bad = F.array(F.struct(F.lit(-1).alias("codec"), F.lit("<record>").alias("field"), F.octet_length(rec).alias("offset"), rec.alias("data")))
+    cut = held.select("record_index", "_whole", F.when(F.col("_whole").isNotNull(), bad).otherwise(found).alias("pieces"))
+    rows = cut.select("record_index", "_whole", F.posexplode_outer("pieces").alias("pos", "p")).filter("pos IS NOT NULL").select("record_index", "_whole", "pos", "p.*")
+    data, of = F.col("data"), F.col("codec")
+    rows = rows.withColumns({f"_g{k}": F.when(of == k, c.decode(data)) for k, c in enumerate(codecs)})
+
+    def chosen(each) -> Column:
+        out = F.when(of == -1, none)
+        for k, c in enumerate(codecs):
+            out = out.when(of == k, each(c, F.col(f"_g{k}")))
+        return out
+
+    error = F.when(of == -1, F.col("_whole")).when(data.isNull(), "E_OFFSET").otherwise(chosen(lambda c, got: got["error_code"]))
+    columns = {"value": chosen(lambda c, got: c.as_text(got["value"])), "sign_nibble": chosen(lambda c, got: got["sign_nibble"]), "sign_class": chosen(lambda c, got: got["sign_class"])}
+    rows = rows.withColumns(columns | {"error_code": error})
+    if verify:
+        same = F.when(of == -1, F.lit(True))
+        for k, c in enumerate(codecs):
+            same = same.when(of == k, c.verifies(data, F.col(f"_g{k}")))
+        rows = rows.withColumn("error_code", F.when(F.col("error_code").isNull() & ~same, "E_VERIFY").otherwise(F.col("error_code")))
+    return finished(rows.select("record_index", "pos", "field", "offset", "data", "value", "sign_nibble", "sign_class", "error_code"))
+
+
 def _applied(rows: Column, on_error: str, audit: bool = False) -> Column:
     """Rows that on_error lets through. For the audit a skipped record counts with its first bad row only."""
     if on_error != "skip-record":
@@ -216,6 +291,8 @@ def decode_long(records: DataFrame, plan: Plan, verify: bool = False, on_error:
         if max_records < 1:
             raise ValueError("E_CONFIG: max_records must be positive")
         records = records.filter(F.col("record_index") < max_records)
+    if plan.has_occurs and (on_error or plan.on_error) != "skip-record":
+        return decoded_pieces(records, plan, verify, fields)
     rows = with_rows(records, plan, verify, fields)
     return finish(rows.withColumn("rows", _applied(F.col("rows"), on_error or plan.on_error, audit)))
 
@@ -244,6 +321,26 @@ def decode_wide(records: DataFrame, plan: Plan) -> DataFrame:
     return records.select("record_index", *[wide_value(i, F.col("rec"), F.lit(0)).alias(i.path) for i in plan.items if not isinstance(i, Gap)])
 
 
+def decode_elements(records: DataFrame, plan: Plan, table: str) -> DataFrame:
+    """(record_index, the fields beside tables, idx, the table's fields): a row an element, idx from 0, a null one where the table is empty.
+
+    Records that are bad as a whole are left out; bad values are null.
+    """
+    t = next(i for i in plan.items if isinstance(i, Occurs) and i.path == table)
+    rec = F.col("rec")
+    outside = [i for i in plan.items if isinstance(i, Field)]
+    held = records.filter(record_error(plan, rec).isNull()).select("record_index", "rec", F.posexplode_outer(_cut_elements(t, rec)).alias("idx", "_element"))
+    inside = [i for i in t.items if isinstance(i, Field)]
+    return held.select(
+        "record_index", *[f.codec.decode(bytes_at(rec, f.offset, f.length))["value"].alias(f.path) for f in outside], "idx",
+        *[f.codec.decode(F.substring("_element", f.offset + 1, f.length))["value"].alias(f.path.removeprefix(t.path + "[].")) for f in inside],
+    )
+
+
+def _cut_elements(t: Occurs, rec: Column) -> Column:
+    return F.transform(_indices(count_of(t, rec)), lambda i: F.substring(rec, F.lit(t.offset + 1) + i * t.element_len, F.lit(t.element_len)))
+
+
 def typed_view(records: DataFrame, plan: Plan, name: str) -> None:
     """The wide relation as a temporary view."""
     decode_wide(records, plan).createOrReplaceTempView(name)

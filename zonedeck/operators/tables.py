@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def search(table: Column, when: Callable[[Column], Column], start: Column | int = 1) -> Column:
@@ -73,20 +75,33 @@ def control_break(rows: DataFrame, key: Sequence[str], **totals: Column) -> Data
 
 
 def advance(rows: DataFrame, lines: Column, linage: int, order: str = "record_index", by: Sequence[str] = ("src_file",)) -> DataFrame:
-    """WRITE AFTER ADVANCING with LINAGE: the page and line of each record, a page break where the line would pass the page.
+    """WRITE AFTER ADVANCING with LINAGE: rows with the page and line of each record, a page break where the line would pass the page.
 
-    Pages follow from all lines before within a file, folded in record order.
+    Pages follow from all lines before within a file, so a file's records pass through one task in
+    order, of which only the last page and line are kept.
     """
-    folded = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), lines.cast("int").alias("n")))).alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)).otherwise(F.struct(F.lit(None).cast("long").alias("o"), F.lit(1).alias("page"), F.lit(0).alias("line")))
-        over = last["line"] + x["n"] > linage
-        new = F.struct(x["o"].cast("long").alias("o"), (last["page"] + over.cast("int")).alias("page"), F.when(over, F.lit(1)).otherwise(last["line"] + x["n"]).alias("line"))
-        return F.concat(acc, F.array(new))
-
-    placed = folded.select(*by, F.inline(F.aggregate("all", F.array().cast("array<struct<o:bigint,page:int,line:int>>"), step)))
-    return rows.join(placed.withColumnRenamed("o", order), [*by, order])
+    names, shown = [*by, order], [*rows.columns, "page", "line"]
+    counted = rows.withColumn("_lines", lines.cast("int"))
+    at = {c: counted.columns.index(c) for c in (*names, "_lines")}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, page, line = None, 1, 0
+        for batch in batches:
+            pages, places = [], []
+            for *now, _, n in zip(*(batch.column(at[c]).to_pylist() for c in (*names, "_lines"))):
+                if now != file:
+                    file, page, line = now, 1, 0
+                if line + (n or 0) > linage:
+                    page, line = page + 1, 1
+                else:
+                    line += n or 0
+                pages.append(page)
+                places.append(line)
+            columns = [c for k, c in enumerate(batch.columns) if k != at["_lines"]]
+            yield pa.record_batch([*columns, pa.array(pages, pa.int32()), pa.array(places, pa.int32())], names=shown)
+
+    ordered = (counted.repartition(*by) if by else counted.repartition(1)).sortWithinPartitions(*names)
+    return ordered.mapInArrow(fold, T.StructType([*rows.schema, T.StructField("page", T.IntegerType()), T.StructField("line", T.IntegerType())]))
 
 
 def record_numbers(rows: DataFrame, *order: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -6,49 +6,20 @@ operator on those, and the SQL works on the columns themselves.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import arithmetic, moves, predicates, strings, text
-from .functions.binary import Binary
-from .functions.floats import HexFloat
-from .functions.packed import Packed, is_negative_zero
-from .functions.zoned import Zoned
-from .operators import audit, decode, tables
-from .plans import schema as plans
-from .sources import records as sources
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def dec(x: str | Column, shape: str = "decimal(15,2)") -> Column:
-    return (F.col(x) if isinstance(x, str) else x).cast(shape)
-
-
-def cents(x: Column) -> Column:
-    return (x * 100).cast("bigint")
-
+from ..functions import arithmetic, moves, predicates, strings, text
+from ..functions.binary import Binary
+from ..functions.floats import HexFloat
+from ..functions.packed import Packed, is_negative_zero
+from ..functions.zoned import Zoned
+from ..operators import audit, decode, tables
+from ..plans import schema as plans
+from .registry import BALANCE_SQL, PRICE_SQL, TOTAL_SQL, cents, dec, query, table
+from .registry import field as _field
 
 PRICE, BALANCE = Packed(13, 2), Packed(9, 2)
-CENTS = "CAST(CAST({0} AS DECIMAL(15,2)) * 100 AS BIGINT)"
-PRICE_SQL, BALANCE_SQL, TOTAL_SQL = (CENTS.format(c) for c in ("l_extendedprice", "c_acctbal", "o_totalprice"))
 
 
 @query(f"SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * {PRICE_SQL}) AS BIGINT) AS cents FROM lineitem GROUP BY l_returnflag")
@@ -191,10 +162,6 @@ def ascii_reject(spark, d):
     return rows.filter("code = 'E_ENCODING'").agg(F.count("*").alias("n"))
 
 
-def _field(name, **k):
-    return {"kind": "field", "name": name, **k}
-
-
 ORDER_PLAN = plans.load(
     {
         "version": 2, "record_length": 18, "on_error": "emit-error-row", "verification_scope": "record",
@@ -219,84 +186,6 @@ def order_records(spark, d, spoil: bool = False) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("record_index"), F.concat(*parts).alias("rec"))
 
 
-LONG_SQL = f"""
-SELECT o_orderkey AS record_index, 'KEY' AS field, 0 AS "offset", CAST(o_orderkey AS VARCHAR) AS value FROM orders
-UNION ALL SELECT o_orderkey, 'TOTAL', 4, CAST(CAST(o_totalprice AS DECIMAL(11,2)) AS VARCHAR) FROM orders
-UNION ALL SELECT o_orderkey, 'STATUS', 10, o_orderstatus FROM orders
-UNION ALL SELECT o_orderkey, 'PRIORITY', 11, rpad(left(o_orderpriority, 7), 7, ' ') FROM orders"""
-
-
-@query(LONG_SQL)
-def fixed_scan_long(spark, d):
-    """Records to the long relation."""
-    rows = decode.decode_long(order_records(spark, d), ORDER_PLAN, verify=True)
-    return rows.filter("valid").select("record_index", "field", "offset", "value")
-
-
-@query(f"SELECT o_orderkey AS record_index, {TOTAL_SQL} AS cents, o_orderstatus AS status FROM orders")
-def fixed_scan_wide(spark, d):
-    """Typed columns; only those that are asked for are decoded."""
-    wide = decode.decode_wide(order_records(spark, d), ORDER_PLAN)
-    return wide.select("record_index", cents(F.col("TOTAL")).alias("cents"), F.col("STATUS").alias("status"))
-
-
-@query(LONG_SQL)
-def hex_scan(spark, d):
-    """The same records from hex text with separators."""
-    lines = order_records(spark, d).select("record_index", F.concat(F.lit("0x"), F.regexp_replace(F.hex("rec"), "(..)(?=.)", "$1 ")).alias("line"))
-    rows = lines.select("record_index", text.parse_hex(F.col("line"))["bytes"].alias("rec"))
-    return decode.decode_long(rows, ORDER_PLAN).filter("valid").select("record_index", "field", "offset", "value")
-
-
-CELL_PLAN = plans.load(
-    {
-        "version": 1, "input_encoding": "jsonl", "on_error": "emit-error-row",
-        "fields": [
-            {"name": "amount", "total_digits": 9, "scale": 2, "signed": True, "sign_mode": "pfd", "mode": "lossless"},
-            {"name": "rest", "total_digits": 3, "scale": 0, "signed": True, "sign_mode": "pfd", "mode": "lossless", "required": False},
-        ],
-    }
-)
-
-
-@query("""SELECT c_custkey AS record_index, CASE WHEN c_custkey % 5 = 4 THEN '<record>' ELSE 'amount' END AS field,
-  CASE c_custkey % 5 WHEN 1 THEN 'E_JSON_TYPE' WHEN 2 THEN 'E_REQUIRED' WHEN 3 THEN 'E_HEX' WHEN 4 THEN 'E_JSON' END AS error_code,
-  CASE WHEN c_custkey % 5 = 0 THEN CAST(CAST(c_acctbal AS DECIMAL(9,2)) AS VARCHAR) END AS value FROM customer""")
-def jsonl_scan(spark, d):
-    """JSON lines of hex cells, right, of a wrong type, without the field, with bad hex, no object."""
-    h = F.hex(BALANCE.encode(dec("c_acctbal"))["bytes"])
-    which = F.pmod("c_custkey", F.lit(5))
-    line = F.when(which == 0, F.concat(F.lit('{"amount":"'), h, F.lit('"}'))).when(which == 1, '{"amount":12}').when(which == 2, "{}").when(which == 3, '{"amount":"0AF"}').otherwise("[1]")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("record_index"), line.alias("line"))
-    return sources.cell_rows(sources.json_cells(rows), CELL_PLAN).select("record_index", "field", "error_code", "value")
-
-
-ODO_PLAN = plans.load(
-    {
-        "version": 2, "layout_mode": "sequential", "on_error": "emit-error-row",
-        "layout": [
-            _field("KEY", field_type="binary", total_digits=9, signed=False),
-            _field("COUNT", field_type="packed-decimal", total_digits=3, signed=False),
-            {"kind": "occurs", "name": "LINES", "counter_field": "COUNT", "min_occurs": 0, "max_occurs": 200, "element_layout": [
-                _field("QTY", field_type="binary", total_digits=4, signed=False), _field("PRICE", field_type="packed-decimal", total_digits=11, scale=2, signed=True)]},
-        ],
-    }
-)
-
-
-@query(f"""SELECT o_orderkey AS k, count(l_orderkey) AS n, coalesce(CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT), 0) AS qty, coalesce(CAST(sum({PRICE_SQL}) AS BIGINT), 0) AS cents
-  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
-def odo_scan(spark, d):
-    """Orders with their lines as variable-length records, those without lines too."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("decimal(9,0)").alias("QTY"), dec("l_extendedprice").alias("PRICE"))).alias("l"))
-    o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    some = F.coalesce("l", F.array().cast("array<struct<QTY:decimal(9,0),PRICE:decimal(15,2)>>"))
-    rec = o.select(F.col("o_orderkey").alias("record_index"), decode.pack_record(ODO_PLAN, {"KEY": F.col("o_orderkey"), "COUNT": F.size(some), "LINES": some}).alias("rec"))
-    wide = decode.decode_wide(rec.filter(decode.record_error(ODO_PLAN, F.col("rec")).isNull()), ODO_PLAN)
-    added = lambda name: F.aggregate(F.col("LINES"), F.lit(0).cast("bigint"), lambda a, x: a + (cents(x[name]) if name == "PRICE" else x[name].cast("bigint")))
-    return wide.select(F.col("KEY").cast("bigint").alias("k"), F.size("LINES").cast("bigint").alias("n"), added("QTY").alias("qty"), added("PRICE").alias("cents"))
-
-
 VIEW_PLAN = plans.load(
     {
         "version": 2, "on_error": "emit-error-row",
@@ -567,7 +456,7 @@ MAIN-LINE.
   SELECT *, ({TOTAL_SQL} * 15 + 500) // 1000 + CASE WHEN o_orderstatus IN ('O', 'P') AND {TOTAL_SQL} > 10000000 THEN 1000 ELSE 0 END AS fee FROM orders)""")
 def program_run(spark, d):
     """A row-local program over every order."""
-    from .plans import lower
+    from ..plans import lower
 
     rows = table(spark, d, "orders").select("o_orderkey", dec("o_totalprice").alias("TOTAL"), F.col("o_orderstatus").alias("STATUS-CODE"))
     got = lower.run(GRADING, rows)
@@ -577,7 +466,7 @@ def program_run(spark, d):
 @query("SELECT 'call' AS kind, o_orderpriority AS target, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'copy', o_orderstatus, count(*) FROM orders GROUP BY 2")
 def dependency_edges(spark, d):
     """Edges of a program text made for each order."""
-    from .operators import programs
+    from ..operators import programs
 
     text_ = F.concat(F.lit("COPY "), F.col("o_orderstatus"), F.lit('.\nCALL "'), F.col("o_orderpriority"), F.lit('".'))
     rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text_.alias("text"))

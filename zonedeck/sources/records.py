@@ -43,6 +43,14 @@ def fixed_width(spark: SparkSession, path: str, length: int) -> DataFrame:
     return out
 
 
+def in_file_order(records: DataFrame, spark: SparkSession, path: str, length: int) -> DataFrame:
+    """Fixed-width records numbered on from file to file, by name, as one file: (record_index, rec)."""
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("src_file"), F.ceil(F.col("length") / length).alias("n"))
+    before = Window.orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    base = sizes.select("src_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return records.join(F.broadcast(base), "src_file").select((F.col("record_index") + F.col("base")).alias("record_index"), "rec")
+
+
 def split_file(spark: SparkSession, path: str, size: int, length: int) -> DataFrame:
     """The same of one file, read in splits. Spark's splitting reader needs pieces that divide the file.
 
@@ -228,8 +236,12 @@ def tape_blocks(content: bytes, length: int | None = None) -> Iterator[bytes]:
         at += 9 + n
 
 
+def tape_block(data: bytes) -> bytes:
+    return b"D" + len(data).to_bytes(8, "little") + data
+
+
 def tape_image(blocks: list[bytes]) -> bytes:
-    return TAPE_MAGIC + b"".join(b"D" + len(b).to_bytes(8, "little") + b for b in blocks)
+    return TAPE_MAGIC + b"".join(map(tape_block, blocks))
 
 
 def tape_records(files: DataFrame, length: int | None = None) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .records import tape_image
+from .records import TAPE_MAGIC, tape_block
+from .shared import opened
 
 #: Fixed value: rows that one JSON document may hold.
 MAX_JSON_ROWS = 100_000
@@ -57,31 +57,35 @@ def inspect(data: bytes) -> dict[str, Any]:
 
 
 def write_fixed_width(records: DataFrame, path: str, order: str = "record_index") -> None:
-    """Records as binary parts in record order: rows are ranged by their index, and each task writes the bytes of its range.
+    """Records (of any length) as binary parts in record order: rows are ranged by their index, and each task writes the bytes of its range.
 
-    The parts' names sort in record order, so reading the folder by name gives the file back. `path` must be
-    reachable from every executor.
+    The parts' names sort in record order, so reading the folder by name gives the file back. `path` is a
+    folder, or an address that pyarrow knows, which every executor reaches.
     """
+    _write_parts(records.repartitionByRange(order).sortWithinPartitions(order), path, lambda rec: rec)
 
+
+def write_tape(records: DataFrame, path: str, order: str = "record_index") -> None:
+    """A folder with the whole image in one file: a tape is one sequence, which one task writes block by block."""
+    _write_parts(records.repartition(1).sortWithinPartitions(order), path, tape_block, TAPE_MAGIC)
+
+
+def _write_parts(ordered: DataFrame, path: str, form: Callable[[bytes], bytes], head: bytes = b"") -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
-        target, own = Path(path) / f"part-{part:05d}.bin", Path(path) / f".part-{part:05d}-{TaskContext.get().taskAttemptId()}"
-        with own.open("wb") as f:
+        task, n = TaskContext.get(), 0
+        files, folder = opened(path)
+        own = f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with files.open_output_stream(own) as f:
+            f.write(head)
             for batch in batches:
                 for rec in batch.column(0).to_pylist():
-                    f.write(rec)
+                    f.write(form(rec))
                     n += 1
-        own.replace(target)  # a task that runs again writes the same part anew
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+        files.move(own, f"{folder}/part-{task.partitionId():05d}.bin")  # a task that runs again writes the same part anew
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
-    Path(path).mkdir(parents=True, exist_ok=True)
-    ranged = records.repartitionByRange(order).sortWithinPartitions(order).select("rec")
-    ranged.mapInArrow(run, "part int, n long").agg(F.sum("n")).collect()
-
-
-def write_tape(records: DataFrame, path: str, order: str = "record_index") -> None:
-    """The whole image, rewritten; a tape is one file and passes through the driver."""
-    blocks = [bytes(r["rec"]) for r in records.orderBy(order).select("rec").toLocalIterator()]
-    Path(path).write_bytes(tape_image(blocks))
+    files, folder = opened(path)
+    files.create_dir(folder, recursive=True)
+    ordered.select("rec").mapInArrow(run, "n long").agg(F.sum("n")).collect()
