@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,38 +35,34 @@ class HexFloat:
         return F.when(data.isNotNull(), F.struct(F.when(error.isNull(), value).alias("value"), none.alias("sign_nibble"), none.alias("sign_class"), error.alias("error_code")))
 
     def encode(self, value: Column) -> Column:
-        """Bytes, null where the value doesn't fit; the digit loop has no built-in form, so it goes by Arrow batches."""
+        """Bytes, null where the value doesn't fit; by Arrow batches, in whole columns."""
         n, endian = self.byte_len, self.endian
 
         @F.pandas_udf("binary")
         def run(values: pd.Series) -> pd.Series:
-            return values.map(lambda x: None if x is None or x != x else hex_float_bytes(float(x), n, endian))
+            return pd.Series(hex_float_bytes(values.to_numpy(np.float64), n, endian), dtype=object)
 
         return run(value.cast("double"))
 
 
-def hex_float_bytes(x: float, n: int, endian: str = "big") -> bytes | None:
+def hex_float_bytes(x: np.ndarray, n: int, endian: str = "big") -> list[bytes | None]:
     """Rounds half away from zero; underflow is zero, overflow and non-finite None."""
-    from fractions import Fraction
-
-    if x in (float("inf"), float("-inf")):
-        return None
-    bits, left, power = 8 * (n - 1), abs(Fraction(x)), 64
-    if not left:
-        return bytes(n)
-    while left >= 1:
-        left, power = left / 16, power + 1
-    while left < Fraction(1, 16):
-        left, power = left * 16, power - 1
-    mantissa = int(left * 2**bits + Fraction(1, 2))
-    if mantissa == 2**bits:
-        mantissa, power = mantissa // 16, power + 1
-    if power > 127:
-        return None
-    if power < 0:
-        return bytes(n)
-    out = bytes([power | (0x80 if x < 0 else 0)]) + mantissa.to_bytes(n - 1, "big")
-    return out if endian == "big" else out[::-1]
+    bits = 8 * (n - 1)
+    fine = np.isfinite(x)
+    size = np.abs(np.where(fine, x, 0.0))
+    power = -(-np.frexp(size)[1] // 4)  # of 16, so that the fraction is at least a sixteenth and below one
+    scaled = np.ldexp(size, bits - 4 * power)
+    whole = np.floor(scaled)
+    mantissa = whole.astype(np.uint64) + (scaled - whole >= 0.5).astype(np.uint64)
+    full = mantissa == np.uint64(1 << bits)
+    mantissa, power = np.where(full, mantissa >> np.uint64(4), mantissa), power + full + 64
+    fits = fine & (power <= 127)
+    nothing = (size == 0) | (power < 0)
+    head = np.where(nothing, 0, np.clip(power, 0, 127) | np.where(x < 0, 0x80, 0)).astype(np.uint64)
+    number = (head << np.uint64(bits)) | np.where(nothing, np.uint64(0), mantissa)
+    rows = number.astype(">u8").view("V8").astype(object) if n == 8 else number.astype(">u4").view("V4").astype(object)
+    step = 1 if endian == "big" else -1
+    return [bytes(r)[::step] if ok else None for r, ok in zip(rows, fits)]
 
 
 @dataclass(frozen=True)
@@ -75,31 +71,27 @@ class IeeeFloat:
 
     def decode(self, data: Column) -> Column:
         """double; null if the length is wrong or the number isn't finite."""
-        form, n = {4: ">f", 8: ">d"}[self.byte_len], self.byte_len
+        form, n = {4: ">f4", 8: ">f8"}[self.byte_len], self.byte_len
 
         @F.pandas_udf("double")
         def run(values: pd.Series) -> pd.Series:
-            def one(b):
-                x = struct.unpack(form, b)[0] if b is not None and len(b) == n else None
-                return x if x is not None and abs(x) != float("inf") and x == x else None
-
-            return values.map(one).astype("float64")
+            right = values.map(lambda b: b is not None and len(b) == n).to_numpy(bool)
+            out = np.full(len(values), np.nan)
+            out[right] = np.frombuffer(b"".join(values[right]), form)
+            return pd.Series(out).where(np.isfinite(out), None).astype("object")
 
         return run(data)
 
     def encode(self, value: Column) -> Column:
-        form = {4: ">f", 8: ">d"}[self.byte_len]
+        form = {4: ">f4", 8: ">f8"}[self.byte_len]
 
         @F.pandas_udf("binary")
         def run(values: pd.Series) -> pd.Series:
-            def one(x):
-                if x is None or x != x or abs(x) == float("inf"):
-                    return None
-                try:
-                    return struct.pack(form, x)
-                except OverflowError:
-                    return None
-
-            return values.map(one)
+            x = values.to_numpy(np.float64)
+            with np.errstate(over="ignore"):
+                packed = x.astype(form)
+            fits = np.isfinite(x) & np.isfinite(packed.astype(np.float64))
+            rows = packed.view(f"V{packed.itemsize}").astype(object)
+            return pd.Series([bytes(r) if ok else None for r, ok in zip(rows, fits)], dtype=object)
 
         return run(value.cast("double"))

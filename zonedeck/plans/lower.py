@@ -2,8 +2,9 @@
 
 A program whose statements only change its own items is run over a DataFrame: a row is one
 run, columns named like items give their first values, and each statement is a projection
-under the condition of the branches around it. Anything that isn't understood stops the
-lowering before a DataFrame is built.
+under the condition of the branches around it. Loops that depend on data, jumps, tables, files
+and calls stop the lowering before a DataFrame is built; plans.machine runs those, from
+the same statements.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from ..functions import arithmetic, moves, predicates
 from .copybook import picture
 from .program import SourceError
 
-_TOKEN = re.compile(r"\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|\d+\.\d+|\d+(?![\w-])|[A-Za-z0-9][\w-]*|>=|<=|<>|\*\*|[-+*/=<>()]|\.(?=\s|$)")
+_TOKEN = re.compile(r"\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|\d+\.\d+|\d+(?![\w-])|[A-Za-z0-9][\w-]*|>=|<=|<>|\*\*|[-+*/=<>():]|\.(?=\s|$)")
 _FIGURES = {"ZERO": "ZERO", "ZEROS": "ZERO", "ZEROES": "ZERO", "SPACE": "SPACE", "SPACES": "SPACE", "HIGH-VALUE": "HIGH-VALUE", "HIGH-VALUES": "HIGH-VALUE", "LOW-VALUE": "LOW-VALUE", "LOW-VALUES": "LOW-VALUE", "QUOTE": "QUOTE", "QUOTES": "QUOTE"}
-_VERBS = frozenset("MOVE ADD SUBTRACT MULTIPLY DIVIDE COMPUTE IF EVALUATE DISPLAY PERFORM SET CONTINUE STOP GOBACK EXIT".split())
-_ENDS = frozenset("ELSE WHEN END-IF END-EVALUATE END-COMPUTE END-ADD END-SUBTRACT END-MULTIPLY END-DIVIDE ON NOT SIZE .".split())
+_VERBS = frozenset(
+    "MOVE ADD SUBTRACT MULTIPLY DIVIDE COMPUTE IF EVALUATE DISPLAY PERFORM SET CONTINUE STOP GOBACK EXIT GO ALTER SEARCH STRING UNSTRING INSPECT"
+    " EXAMINE CALL OPEN CLOSE READ WRITE REWRITE DELETE SORT RELEASE RETURN READY RESET".split()
+)
+_ENDS = frozenset("ELSE WHEN ON NOT SIZE AT OVERFLOW END-IF END-EVALUATE END-COMPUTE END-ADD END-SUBTRACT END-MULTIPLY END-DIVIDE END-SEARCH END-STRING END-UNSTRING END-READ END-RETURN END-WRITE END-CALL .".split())
 _MAX_TIMES = 1000
 
 
@@ -57,21 +61,34 @@ def _literal(token: str):
     return token if re.fullmatch(r"[-+]?\d+(\.\d+)?", token) else None
 
 
+def divided(source: str) -> tuple[str, str, str]:
+    """What comes before the PROCEDURE DIVISION, its heading, and its body."""
+    parts = re.split(r"(PROCEDURE\s+DIVISION[^.]*\.)", source, maxsplit=1, flags=re.I)
+    if len(parts) < 3:
+        raise _fail("no PROCEDURE DIVISION")
+    return parts[0], parts[1], parts[2]
+
+
 def parse(source: str) -> Program:
     """The items and paragraphs of a normalized source (see program.preprocess)."""
-    head, mark, body = re.split(r"(PROCEDURE\s+DIVISION[^.]*\.)", source, maxsplit=1, flags=re.I) if re.search(r"PROCEDURE\s+DIVISION", source, re.I) else (source, "", "")
-    if not mark:
-        raise _fail("no PROCEDURE DIVISION")
+    head, _, body = divided(source)
     out = Program()
     _items(head, out)
+    out.paragraphs = procedure(body)
+    return out
+
+
+def procedure(body: str) -> dict[str, list]:
+    """Statements by paragraph, in order; what comes before the first name is the paragraph ''. A section's name is a paragraph without its suffix."""
+    out: dict[str, list] = {}
     name, tokens = "", []
     for line in body.splitlines():
-        m = re.fullmatch(r"\s*([A-Za-z0-9][\w-]*)\s*\.\s*", line)
+        m = re.fullmatch(r"\s*([A-Za-z0-9][\w-]*)(\s+SECTION)?\s*\.\s*", line, re.I)
         if m and m[1].upper() not in _VERBS | _ENDS:
-            out.paragraphs[name], name, tokens = _statements(tokens), m[1].upper(), []
+            out[name], name, tokens = _statements(tokens), m[1].upper(), []
         else:
             tokens += _TOKEN.findall(line)
-    out.paragraphs[name] = _statements(tokens)
+    out[name] = _statements(tokens)
     return out
 
 
@@ -147,10 +164,26 @@ def _block(r: _Reader) -> list:
     return out
 
 
-def _operands(r: _Reader, *stops: str) -> list[str]:
+def _operand(r: _Reader):
+    """A token, or (name, subscripts, (start, length)) of a table's element or a part of a text."""
+    token = r.next()
+    if r.peek() != "(" or not re.match(r"[A-Za-z0-9]", token) or _literal(token) is not None:
+        return token
+    subscripts, part = [], None
+    while r.take("("):
+        inner = []
+        while not r.take(")"):
+            inner.append(_expression(r))
+            if r.take(":"):
+                part = (inner.pop(), None if r.peek() == ")" else _expression(r))
+        subscripts += inner
+    return token, tuple(subscripts), part
+
+
+def _operands(r: _Reader, *stops: str) -> list:
     out = []
     while r.peek() and r.peek() not in stops and r.peek() not in _VERBS | _ENDS:
-        out.append(r.next())
+        out.append(_operand(r))
     return out
 
 
@@ -159,7 +192,7 @@ def _statement(r: _Reader):
     if verb == "MOVE":
         if r.peek() in ("CORRESPONDING", "CORR"):
             raise _fail("MOVE CORRESPONDING of groups")
-        source = ("all", r.next()) if r.take("ALL") else r.next()
+        source = ("all", r.next()) if r.take("ALL") else _operand(r)
         if source in ("+", "-"):
             source += r.next()
         if not r.take("TO"):
@@ -200,27 +233,271 @@ def _statement(r: _Reader):
     if verb == "DISPLAY":
         return "display", _operands(r)
     if verb == "PERFORM":
-        name = r.next().upper()
-        times = 1
-        if r.peek(1) == "TIMES":
-            times = int(_literal(r.next()) or 0)
-            r.next()
-        if r.peek() in ("UNTIL", "VARYING", "THRU", "THROUGH") or not 0 < times <= _MAX_TIMES:
-            raise _fail(f"PERFORM {name} with a loop")
-        return "perform", name, times
+        return _perform(r)
     if verb == "SET":
-        names = _operands(r, "TO")
-        if not r.take("TO", "TRUE"):
-            raise _fail("SET other than a condition TO TRUE")
-        return "set", names
+        names = _operands(r, "TO", "UP", "DOWN")
+        if r.take("TO", "TRUE"):
+            return "set", names
+        if r.take("TO"):
+            return "index", names, "TO", _operand(r)
+        way = r.next().upper()
+        if way not in ("UP", "DOWN") or not r.take("BY"):
+            raise _fail("SET")
+        return "index", names, way, _operand(r)
     if verb in ("STOP", "GOBACK", "EXIT"):
         if verb == "STOP" and not r.take("RUN"):
             raise _fail("STOP literal")
-        r.take("PROGRAM")
-        return ("continue",) if verb == "EXIT" else ("stop",)
+        if verb == "EXIT" and not r.take("PROGRAM"):
+            return ("continue",)
+        return "stop" if verb == "STOP" else "back",
+    if verb in _OTHERS:
+        return _OTHERS[verb](r)
     return ("continue",)
 
 
+def _span(r: _Reader) -> tuple[str, str]:
+    """The first and last paragraph of a range."""
+    first = r.next().upper()
+    return first, r.next().upper() if r.take("THRU") or r.take("THROUGH") else first
+
+
+def _perform(r: _Reader):
+    span = _span(r)
+    if r.peek(1) == "TIMES":
+        times = r.next()
+        r.next()
+        return "perform", *span, ("times", times)
+    varying = None
+    if r.take("VARYING"):
+        item = _operand(r)
+        if not r.take("FROM"):
+            raise _fail("PERFORM VARYING without FROM")
+        start = _operand(r)
+        if not r.take("BY"):
+            raise _fail("PERFORM VARYING without BY")
+        step = r.next()
+        varying = (item, start, step + r.next() if step in ("-", "+") else step)
+    if r.take("WITH") or r.peek() == "TEST":
+        if not r.take("TEST", "BEFORE"):
+            raise _fail("PERFORM with another test than before")
+    if r.take("UNTIL"):
+        return "perform", *span, ("until", varying, _condition(r))
+    if varying:
+        raise _fail("PERFORM VARYING without UNTIL")
+    return "perform", *span, None
+
+
+def _go(r: _Reader):
+    r.take("TO")
+    names = [x.upper() for x in _operands(r, "DEPENDING")]
+    if r.take("DEPENDING"):
+        r.take("ON")
+        return "depending", names, _operand(r)
+    return "goto", names[0] if names else ""
+
+
+def _alter(r: _Reader):
+    name = r.next().upper()
+    if not r.take("TO"):
+        raise _fail("ALTER without TO")
+    r.take("PROCEED", "TO")
+    return "alter", name, r.next().upper()
+
+
+def _ended(r: _Reader, verb: str, *words: str) -> tuple[list | None, list]:
+    """Statements of AT END, OVERFLOW and the like (None: not given), and of their NOT."""
+    bad, good = None, []
+    while r.peek() in ("AT", "ON", "NOT", words[0]):
+        negative = r.take("NOT")
+        r.take("AT") or r.take("ON")
+        if not r.take(*words):
+            raise _fail(f"{verb}: at {r.peek()}")
+        if negative:
+            good = _block(r)
+        else:
+            bad = _block(r)
+    r.take(f"END-{verb}")
+    return bad, good
+
+
+def _search(r: _Reader):
+    every = r.take("ALL")
+    name = r.next().upper()
+    varying = r.next().upper() if r.take("VARYING") else None
+    at_end = []
+    if r.take("AT", "END") or r.take("END"):
+        at_end = _block(r)
+    whens = []
+    while r.take("WHEN"):
+        whens.append((_condition(r), _block(r)))
+    r.take("END-SEARCH")
+    return "search", every, name, varying, at_end, whens
+
+
+def _string(r: _Reader):
+    parts = []
+    while not r.take("INTO"):
+        some = _operands(r, "DELIMITED", "INTO")
+        if not r.take("DELIMITED"):
+            raise _fail("STRING without DELIMITED")
+        r.take("BY")
+        by = None if r.take("SIZE") else r.next()
+        parts += [(x, by) for x in some]
+    target = _operand(r)
+    r.take("WITH")
+    pointer = _operand(r) if r.take("POINTER") else None
+    return "string", parts, target, pointer, *_ended(r, "STRING", "OVERFLOW")
+
+
+def _unstring(r: _Reader):
+    source = _operand(r)
+    if not r.take("DELIMITED"):
+        raise _fail("UNSTRING without DELIMITED")
+    r.take("BY")
+    every, by = r.take("ALL"), r.next()
+    if not r.take("INTO"):
+        raise _fail("UNSTRING without INTO")
+    targets: list = []
+    while r.peek() and r.peek() not in ("WITH", "POINTER", "TALLYING") and r.peek() not in _VERBS | _ENDS:
+        target = _operand(r)
+        count = None
+        if r.take("COUNT"):
+            r.take("IN")
+            count = _operand(r)
+        targets.append((target, count))
+    r.take("WITH")
+    pointer = _operand(r) if r.take("POINTER") else None
+    tally = None
+    if r.take("TALLYING"):
+        r.take("IN")
+        tally = _operand(r)
+    return "unstring", source, by, every, targets, pointer, tally, *_ended(r, "UNSTRING", "OVERFLOW")
+
+
+def _inspect(r: _Reader):
+    item = _operand(r)
+    if r.take("TALLYING"):
+        count = _operand(r)
+        if not r.take("FOR", "ALL"):
+            raise _fail("INSPECT TALLYING other than FOR ALL")
+        return "inspect", "tally", item, count, r.next()
+    if r.take("REPLACING"):
+        if not r.take("ALL"):
+            raise _fail("INSPECT REPLACING other than ALL")
+        what = r.next()
+        if not r.take("BY"):
+            raise _fail("INSPECT REPLACING without BY")
+        return "inspect", "replace", item, what, r.next()
+    if r.take("CONVERTING"):
+        what = r.next()
+        if not r.take("TO"):
+            raise _fail("INSPECT CONVERTING without TO")
+        return "inspect", "convert", item, what, r.next()
+    raise _fail("INSPECT")
+
+
+def _examine(r: _Reader):
+    item = _operand(r)
+    tally = r.take("TALLYING")
+    if not tally and not r.take("REPLACING"):
+        raise _fail("EXAMINE")
+    if not r.take("ALL"):
+        raise _fail("EXAMINE other than ALL")
+    what = r.next()
+    by = None
+    if (r.take("REPLACING", "BY") if tally else r.take("BY")):
+        by = r.next()
+    return "examine", item, tally, what, by
+
+
+def _call(r: _Reader):
+    name = r.next()
+    using = _operands(r) if r.take("USING") else []
+    r.take("END-CALL")
+    return "call", name, using
+
+
+def _open(r: _Reader):
+    files = []
+    while r.peek() in ("INPUT", "OUTPUT", "I-O", "EXTEND"):
+        mode = r.next().upper()
+        files += [(mode, f.upper()) for f in _operands(r, "INPUT", "OUTPUT", "I-O", "EXTEND")]
+    return "open", files
+
+
+def _read(r: _Reader):
+    name = r.next().upper()
+    r.take("RECORD")
+    into = _operand(r) if r.take("INTO") else None
+    return "read", name, into, *_ended(r, "READ", "END")
+
+
+def _return(r: _Reader):
+    name = r.next().upper()
+    r.take("RECORD")
+    into = _operand(r) if r.take("INTO") else None
+    return "return", name, into, *_ended(r, "RETURN", "END")
+
+
+def _write(r: _Reader):
+    name = r.next().upper()
+    source = _operand(r) if r.take("FROM") else None
+    advancing = None
+    if r.peek() in ("AFTER", "BEFORE"):
+        when = r.next().upper()
+        r.take("ADVANCING")
+        advancing = (when, "PAGE" if r.take("PAGE") else _operand(r))
+        r.take("LINES") or r.take("LINE")
+    r.take("END-WRITE")
+    return "write", name, source, advancing
+
+
+def _sort(r: _Reader):
+    name = r.next().upper()
+    r.take("ON")
+    descending = r.take("DESCENDING")
+    if not descending and not r.take("ASCENDING"):
+        raise _fail("SORT without a key")
+    r.take("KEY")
+    key = r.next().upper()
+    spans = []
+    for way in ("INPUT", "OUTPUT"):
+        if not r.take(way, "PROCEDURE"):
+            raise _fail("SORT other than by INPUT and OUTPUT PROCEDURE, or several keys")
+        r.take("IS")
+        spans.append(_span(r))
+    return "sort", name, key, descending, *spans
+
+
+def _from(kind: str):
+    def parsed(r: _Reader):
+        name = r.next().upper()
+        return kind, name, _operand(r) if r.take("FROM") else None
+
+    return parsed
+
+
+def _trace(on: bool):
+    def parsed(r: _Reader):
+        r.take("TRACE")
+        return "trace", on
+
+    return parsed
+
+
+def _delete(r: _Reader):
+    name = r.next().upper()
+    r.take("RECORD")
+    return "delete", name
+
+
+_OTHERS = {
+    "GO": _go, "ALTER": _alter, "SEARCH": _search, "STRING": _string, "UNSTRING": _unstring, "INSPECT": _inspect, "EXAMINE": _examine, "CALL": _call,
+    "OPEN": _open, "CLOSE": lambda r: ("close", [x.upper() for x in _operands(r)]), "READ": _read, "WRITE": _write, "REWRITE": _from("rewrite"), "DELETE": _delete,
+    "SORT": _sort, "RELEASE": _from("release"), "RETURN": _return, "READY": _trace(True), "RESET": _trace(False),
+}
+
+
 def _size(r: _Reader, verb: str) -> tuple[list | None, list]:
     """Statements ON SIZE ERROR (None: not given) and NOT ON SIZE ERROR."""
     bad, good = None, []
@@ -238,7 +515,7 @@ def _size(r: _Reader, verb: str) -> tuple[list | None, list]:
 
 
 def _subject(r: _Reader):
-    return ("true",) if r.take("TRUE") else r.next()
+    return ("true",) if r.take("TRUE") else _operand(r)
 
 
 def _patterns(r: _Reader) -> list:
@@ -284,7 +561,7 @@ def _factor(r: _Reader):
         return inner
     if r.take("-"):
         return "op", "-", ("leaf", "0"), _factor(r)
-    return "leaf", r.next()
+    return "leaf", _operand(r)
 
 
 def _condition(r: _Reader):
@@ -370,12 +647,16 @@ class Lowered:
         return F.col(name)
 
     def _item(self, name: str) -> Item:
+        if isinstance(name, tuple):
+            raise _fail(f"{name[0]}: tables and parts of texts")
         if name.upper() not in self.p.items:
             raise SourceError("CBL-RT-REFERENCE", name)
         return self.p.items[name.upper()]
 
     def _value(self, token: str) -> tuple[Column, bool, Item | None]:
         """(value, whether it is text, its item)."""
+        if isinstance(token, tuple):
+            raise _fail(f"{token[0]}: tables and parts of texts")
         literal = _literal(token)
         if literal is not None:
             if token[0] in "\"'":
@@ -434,6 +715,8 @@ class Lowered:
         self.df = self.df.withColumn(item.name, F.when(guard, value).otherwise(F.col(item.name)))
 
     def _moved(self, source, item: Item) -> Column:
+        if isinstance(source, tuple) and len(source) == 3:
+            raise _fail(f"{source[0]}: tables and parts of texts")
         if isinstance(source, tuple):
             text = _literal(source[1]) or ""
             return F.rpad(F.lit(text * (item.length // max(len(text), 1) + 1)), item.length, " ")
@@ -521,12 +804,21 @@ class Lowered:
             line = F.concat(*[self._shown(t) for t in s[1]])
             self.df = self.df.withColumn("display", F.when(guard, F.concat("display", F.array(line))).otherwise(F.col("display")))
         elif kind == "perform":
-            if s[1] not in self.p.paragraphs:
-                raise SourceError("CBL-RT-PROCEDURE", s[1])
-            if s[1] in path:
+            names = list(self.p.paragraphs)
+            for name in s[1:3]:
+                if name not in self.p.paragraphs:
+                    raise SourceError("CBL-RT-PROCEDURE", name)
+            span = names[names.index(s[1]) : names.index(s[2]) + 1]
+            if set(span) & set(path):
                 raise _fail(f"PERFORM {s[1]} of itself")
-            for _ in range(s[2]):
-                self._block(self.p.paragraphs[s[1]], guard, (*path, s[1]))
+            times = 1
+            if s[3]:
+                times = _literal(s[3][1]) if s[3][0] == "times" and isinstance(s[3][1], str) else None
+                if times is None or not times.isdigit() or not 0 < int(times) <= _MAX_TIMES:
+                    raise _fail(f"PERFORM {s[1]} with a loop that data decide")
+            for _ in range(int(times)):
+                for name in span:
+                    self._block(self.p.paragraphs[name], guard, (*path, *span))
         elif kind == "set":
             for name in s[1]:
                 if name.upper() not in self.p.conditions:
@@ -534,8 +826,10 @@ class Lowered:
                 parent, singles, ranges = self.p.conditions[name.upper()]
                 item, value = self._item(parent), predicates.first_value(singles, ranges)
                 self._put(item, F.rpad(F.lit(value), item.length, " ") if item.text else F.lit(value).cast(self._kind(item)), guard)
-        elif kind == "stop":
+        elif kind in ("stop", "back"):
             self.df = self.df.withColumn("_going", F.col("_going") & ~guard)
+        elif kind != "continue":
+            raise _fail(f"{kind} isn't a projection of a row")
 
     def _matches(self, subjects: list, row: list) -> Column:
         out = F.lit(True)
