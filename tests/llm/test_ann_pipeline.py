@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force; the pipeline on a small corpus."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -104,3 +105,68 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(passage in (r.text or "") for r in kept[2].collect()) == 1
     assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
+    from urllib.parse import urlparse
+
+    from zonedeck.llm import common
+
+    assert not list(Path(urlparse(common.shared_folder(spark)).path).glob("pipeline-*"))  # nothing stays behind
+    against_brute_force(spark, [spark.read.parquet(str(tmp_path / "documents.parquet")), *kept], tmp_path)
+
+
+def against_brute_force(spark, tables, tmp_path):
+    """Each stage's rows from those of the one before, by plain loops, the mix by its SQL and the pieces by the tokenizer."""
+    import re
+    import zlib
+
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from zonedeck.llm import mixing, packing, toxicity
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    rows = [sorted(((r.doc_id, r.text) for r in t.select("doc_id", "text").collect()), key=str) for t in tables[:5]]
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(tables[0], spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    assert rows[1] == [r for r in rows[0] if scores[r[0]] < 0.3]
+
+    def shingles(text):
+        words = word.findall((text or "").lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, first = {i: shingles(t) for i, t in rows[1]}, {}
+    for i in sorted(sets):
+        alike = [j for j in sorted(sets) if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+        first[i] = min([first[j] for j in alike], default=i)
+    assert rows[2] == [r for r in rows[1] if first[r[0]] == r[0]]
+
+    seen, want = set(), []
+    for i, text in sorted(rows[2]):
+        words, gone = word.findall(text or ""), set()
+        for s in range(len(words) - 19):
+            w = tuple(words[s : s + 20])
+            if w in seen:
+                gone.update(range(s, s + 20))
+            seen.add(w)
+        want.append((i, " ".join(w for k, w in enumerate(words) if k not in gone) if gone else text or ""))
+    assert [(i, t or "") for i, t in rows[3]] == sorted(want, key=str)
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/s2/*.parquet'")
+    taken = {r[0]: (r[4], r[1]) for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall()}
+    counts = {i: sum(1 for r in rows[4] if r[0] == i) for i in taken}
+    assert all(counts[i] * size == words for i, (words, size) in taken.items())
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = []
+    for _, text in rows[4]:
+        ids = np.asarray([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or min(len(ids), 2048), len(ids) + 1, 2048)]
+        pieces += [(b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(cuts, cuts[1:])]
+    packed = tables[5].collect()
+    assert sorted((r.length, r.ids_crc32) for r in packed) == sorted(pieces)
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        assert [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] == [o for o, _ in sorted(parts)] and sum(n for _, n in parts) <= 2048
+    total = sum(n for n, _ in pieces)
+    assert -(-total // 2048) <= len(sequences) <= 1.1 * total / 2048 + 1

@@ -4,8 +4,9 @@ A document's fingerprint has the majority bits of the XXH64 of its word shingles
 Fingerprints within `radius` differing bits are linked, and linked documents form
 components.
 
-Equal fingerprints are one node. Fingerprints within the radius share one of
-radius + 1 blocks of bits exactly, so they meet in a bucket of that block. A bucket is
+Equal fingerprints are one node. Fingerprints are cut into radius + 2 blocks of bits;
+those within the radius share two blocks exactly (with a radius of 2, 32 bits), so they
+meet in the bucket of that pair of blocks, with few others. A bucket is
 stored as vertical bit planes, 64 fingerprints a machine word; all distances to a
 query fingerprint grow plane by plane in bitwise carry-save counters, and a word whose
 64 counters have all passed the radius is abandoned. A bucket of over CHUNK
@@ -27,6 +28,7 @@ first; then all pairs that components still separate. Equal sets are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -192,9 +194,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
 
 def link_classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Links (u, v) that connect what is within the radius, from distinct (fp, node)."""
-    blocks = radius + 1
+    blocks = radius + 2
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    key = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+    part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    size = [b - a for a, b in zip(edges, edges[1:])]
+    pairs = [F.shiftleft(part[i], size[j]).bitwiseOR(part[j]) for i, j in combinations(range(blocks), 2)]
+    key = F.array(*[F.struct(F.lit(k).alias("block"), bits.alias("bits")) for k, bits in enumerate(pairs)])
     rows = prints.select("fp", "node", F.explode(key).alias("k")).select("fp", "node", F.col("k.block").alias("block"), F.col("k.bits").alias("bits"))
     shared = rows.groupBy("block", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk))
     rows = rows.join(shared, ["block", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks"))
