@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what each returns is written to the shared folder and read again."""
+    """The stages applied to documents; what each returns is written to the shared folder and read again, and goes when the next one is done.
+
+    The last stage has its pieces in a checkpoint of its own when it returns, so nothing stays behind.
+    """
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -59,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            common.remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+    common.remove(spark, folder)
     return docs
