@@ -50,6 +50,8 @@ def test_program_commands(capsys, tmp_path):
     (tmp_path / "p.cbl").write_text("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. P.\n       DATA DIVISION.\n       01 N PIC 9.\n       PROCEDURE DIVISION.\n       M.\n           MOVE 1 TO N.\n")
     assert cli.main(["convert", "--input", str(tmp_path / "p.cbl")]) == cli.OK
     assert json.loads(capsys.readouterr().out)["programs"] == ["P"]
+    assert cli.main(["convert", "--input", str(tmp_path / "p.cbl"), "--out", str(tmp_path / "made")]) == cli.OK
+    assert json.loads((tmp_path / "made" / "report.json").read_text())["status"] == "ok" and (tmp_path / "made" / "run.py").exists()
     (tmp_path / "q.cbl").write_text("       PROGRAM-ID. Q.\n           ACCEPT N.\n")
     assert cli.main(["check", "--input", str(tmp_path / "q.cbl")]) == cli.DATA
     assert cli.main(["check", "--input", str(tmp_path / "none.cbl")]) == cli.IO

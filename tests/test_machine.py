@@ -77,6 +77,12 @@ def test_trace_and_missing_dynamic_program():
     assert m.trace == ["A"] and m.display == ["01"]
 
 
+def test_debugging_declaratives():
+    body = "DECLARATIVES.\nWATCH SECTION.\n USE FOR DEBUGGING ON A.\nW.\n DISPLAY \"at \" DEBUG-NAME.\nEND DECLARATIVES.\nM.\n PERFORM A 2 TIMES.\n STOP RUN.\nA.\n DISPLAY \"here\"."
+    assert made(ITEMS, body).display == ["at A", "here"] * 2
+    assert made(ITEMS, body.replace("ON A.", "ON ALL PROCEDURES.")).display == ["at M", "at A", "here", "at A", "here"]
+
+
 FILES = """FILE-CONTROL.
     SELECT INF ASSIGN TO "IN" FILE STATUS IS ST.
     SELECT OUTF ASSIGN TO "OUT".

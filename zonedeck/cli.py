@@ -11,7 +11,8 @@ import sys
 from decimal import Decimal, InvalidOperation
 from pathlib import Path
 
-from .plans import copybook, program, schema
+from . import api
+from .plans import copybook, schema
 from .sources import binding
 
 OK, DATA, CONFIG, IO, INTERNAL = range(5)
@@ -138,18 +139,19 @@ def _schema(a) -> int:
 
 
 def _program(a) -> int:
-    from .plans import machine
-
-    source = program.preprocess(a.input, a.copybook_dir, a.source_format)
-    got = program.analyze(source.text)
-    errors = sorted(v for v, (status, _) in got["verbs"].items() if status != "executed")
-    if a.command == "convert" and not errors:
-        found = machine.programs(source.text)
-        for p in found:
-            machine.Machine(p, {x.name: x for x in found})
-        got["programs"] = [p.name for p in found]
-    print(json.dumps({"program": got["program"], "errors": errors, "risks": got["risks"], "includes": [b for b, _ in source.includes], "programs": got.get("programs", [])}))
-    return DATA if errors else OK
+    if a.command == "check":
+        report = api.check(a.input, a.copybook_dir, a.source_format)
+        print(json.dumps(report))
+        return DATA if report["errors"] else OK
+    try:
+        converted = api.convert(a.input, a.copybook_dir, a.source_format)
+    except api.ConversionError as e:
+        print(json.dumps(e.report))
+        return DATA
+    if a.out:
+        api.write_project(converted, a.out)
+    print(json.dumps(converted.report | {"programs": converted.programs}))
+    return OK
 
 
 def parser() -> argparse.ArgumentParser:
@@ -194,6 +196,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--input", required=True)
         p.add_argument("--copybook-dir", action="append", default=[])
         p.add_argument("--source-format", default="auto")
+        p.add_argument("--out")
     return out
 
 
