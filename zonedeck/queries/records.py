@@ -455,7 +455,7 @@ MAIN-LINE.
   CASE o_orderstatus WHEN 'P' THEN 'PART  ' WHEN 'O' THEN 'OPEN  ' ELSE 'CLOSED' END AS grade FROM (
   SELECT *, ({TOTAL_SQL} * 15 + 500) // 1000 + CASE WHEN o_orderstatus IN ('O', 'P') AND {TOTAL_SQL} > 10000000 THEN 1000 ELSE 0 END AS fee FROM orders)""")
 def program_run(spark, d):
-    """A row-local program over every order."""
+    """A row-local program over every order, as projections."""
     from ..plans import lower
 
     rows = table(spark, d, "orders").select("o_orderkey", dec("o_totalprice").alias("TOTAL"), F.col("o_orderstatus").alias("STATUS-CODE"))
