@@ -49,11 +49,12 @@ class Binary:
         return F.when(data.isNotNull(), F.struct(F.when(error.isNull(), value).alias("value"), none.alias("sign_nibble"), none.alias("sign_class"), error.alias("error_code")))
 
     def encode(self, value: Column) -> Column:
-        number, lost, negative = units(value, self.scale, 20)
         bits = 8 * self.byte_len
+        kind, total = ("decimal(20,0)", 20) if bits == 64 else ("bigint", 18)
+        number, lost, negative = units(value, self.scale, total)
         # The largest magnitudes on either side of zero.
         low, high = (2 ** (bits - 1), 2 ** (bits - 1) - 1) if self.signed else (0, 2**bits - 1)
-        limit = F.when(negative, F.lit(str(low)).cast("decimal(20,0)")).otherwise(F.lit(str(high)).cast("decimal(20,0)"))
+        limit = F.when(negative, F.lit(str(low)).cast(kind)).otherwise(F.lit(str(high)).cast(kind))
         error = ladder((lost, "E_PRECISION"), (F.coalesce(number > limit, F.lit(True)), "E_OVERFLOW"))
         if self.signed or bits < 64:
             h = F.hex(F.when(negative, -number).otherwise(number).try_cast("bigint"))  # two's complement

@@ -24,7 +24,9 @@ def units(x: Column, scale: int, total: int = 18) -> tuple[Column, Column, Colum
     wide = x.cast("decimal(38,18)")
     size = F.abs(wide)
     kept = F.floor(size, F.lit(scale))
-    number = kept.try_cast(f"decimal({total},{scale})") * F.lit("1" + "0" * scale).cast(f"decimal({scale + 1},0)")
+    number = kept.try_cast(f"decimal({total},{scale})")
+    if scale:
+        number = number * F.lit("1" + "0" * scale).cast(f"decimal({scale + 1},0)")
     return number.cast("bigint" if total <= 18 else f"decimal({total},0)"), kept != size, wide < 0
 
 

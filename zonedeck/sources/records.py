@@ -9,26 +9,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_hex
 from ..operators.decode import finish, slim
 from ..plans.schema import MAX_RECORD_BYTES, Codec, Occurs, Plan
 
-#: Files up to this size are read whole and cut in the JVM; larger ones are split by record boundaries.
+#: Files up to this size are read whole and cut as Arrow arrays; larger ones are split by record boundaries.
 WHOLE_FILE = 128 << 20
+#: Records that leave a task at once.
+RECORDS = 20_000
 #: Bytes at most that a larger file with a partial tail is read in at once.
 PIECE = 64 << 10
 #: Fixed value: what a tape image begins with.
 TAPE_MAGIC = b"COBOLVM-TAPE-1\n"
 
 
-def chunks(content: Column, length: int) -> Column:
-    """The records of a file's bytes; a partial one at the end is kept, shorter."""
-    n = F.ceil(F.octet_length(content) / length).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: F.substring(content, i * length + 1, F.lit(length)))
+def cut_files(files: DataFrame, length: int) -> DataFrame:
+    """(src_file, record_index, rec) of files (path, content); a partial record at a file's end is kept, shorter.
+
+    The records are stretches of the content itself: an Arrow array over it, nothing is copied a record.
+    (Slicing in an expression copies the whole content for each record.)
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                content = batch.column(1)[k].as_buffer()
+                whole = content.size // length if content is not None else 0
+                fixed = pa.Array.from_buffers(pa.binary(length), whole, [None, content])
+                for at in range(0, whole, RECORDS):
+                    some = fixed.slice(at, RECORDS).cast(pa.binary())
+                    yield _records(path, at, some)
+                if content is not None and content.size % length:
+                    yield _records(path, whole, pa.array([content.slice(whole * length).to_pybytes()], pa.binary()))
+
+    return files.select("path", "content").mapInArrow(run, "src_file string, record_index long, rec binary")
+
+
+def _records(path: str, first: int, recs: pa.Array) -> pa.RecordBatch:
+    index = pa.array(range(first, first + len(recs)), pa.int64())
+    return pa.record_batch([pa.array([path] * len(recs), pa.string()), index, recs], names=["src_file", "record_index", "rec"])
 
 
 def fixed_width(spark: SparkSession, path: str, length: int) -> DataFrame:
@@ -37,7 +59,7 @@ def fixed_width(spark: SparkSession, path: str, length: int) -> DataFrame:
     # Sizes alone: the contents aren't read for this.
     large = files.filter(F.col("length") > WHOLE_FILE).select("path", "length").collect()
     small = files.filter(F.col("length") <= WHOLE_FILE)
-    out = small.select(F.col("path").alias("src_file"), F.posexplode(chunks(F.col("content"), length)).alias("record_index", "rec")).withColumn("record_index", F.col("record_index").cast("long"))
+    out = cut_files(small, length)
     for file in large:
         out = out.unionByName(split_file(spark, file["path"], file["length"], length))
     return out

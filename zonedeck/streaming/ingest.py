@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.decode import decode_long
 from ..plans.schema import Plan
-from ..sources.records import chunks
+from ..sources.records import cut_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,8 +17,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 def record_stream(spark: SparkSession, folder: str, length: int, files_per_batch: int = 100) -> DataFrame:
     """(src_file, record_index, rec) of fixed-width files as they arrive."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    cut = files.select(F.col("path").alias("src_file"), F.posexplode(chunks(F.col("content"), length)).alias("record_index", "rec"))
-    return cut.withColumn("record_index", F.col("record_index").cast("long"))
+    return cut_files(files, length)
 
 
 def decode_stream(spark: SparkSession, folder: str, plan: Plan, target: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
