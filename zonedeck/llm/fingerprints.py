@@ -33,7 +33,7 @@ from . import common
 
 MAX_WEIGHT = 16
 #: Documents that are put in order in one task, a few numbers each.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000
 #: Blocks of bits in the key of a permuted table.
 PREFIX, RADIUS = 3, 3
 _NULL_ID = -(2**63)
@@ -93,21 +93,26 @@ def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     texts = keyed.dropDuplicates(KEY)  # equal rows are one within each task already
     wanted = after.select(F.col("_nk").alias("_k"), F.col("_nh").alias("_h"), F.col("_k").alias("_pk"), F.col("_h").alias("_ph"), quarter.alias("q"))
-    heads = texts.join(wanted, KEY).select(F.col("_pk").alias("_k"), F.col("_ph").alias("_h"), F.col("q"), F.substring(F.col("text"), F.lit(1), F.col("q")).alias("head"))
+    heads = met(texts, wanted, KEY).select(F.col("_pk").alias("_k"), F.col("_ph").alias("_h"), F.col("q"), F.substring(F.col("text"), F.lit(1), F.col("q")).alias("head"))
     n = F.length("text")
-    pair = texts.join(heads, KEY).select(*KEY, "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("q")), "head").alias("edited"))
+    pair = met(texts, heads, KEY).select(*KEY, "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("q")), "head").alias("edited"))
     facts = pair.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
     both = pair.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     prints = fingerprint_rows(both.select(*KEY, F.col("x.kind").alias("kind"), F.col("x.text").alias("text")), [*KEY, "kind"])
     prints = prints.groupBy(*KEY).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
-    rows = facts.join(prints, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("fp", "edited_fp")})
+    rows = met(facts, prints, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("fp", "edited_fp")})
     rows = common.cut(rows)  # a few numbers a document; what follows reads them twice
     of_next = rows.select(F.col("_k").alias("_nk"), F.col("_h").alias("_nh"), F.col("fp").alias("next_fp"))
-    out = rows.join(after, KEY).join(of_next, ["_nk", "_nh"]).select(*KEY, "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
-    back = keyed.select(*KEY).join(out, KEY)  # every row again, equal ones too
+    out = met(met(rows, after, KEY), of_next, ["_nk", "_nh"]).select(*KEY, "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    back = met(keyed.select(*KEY), out, KEY)  # every row again, equal ones too
     return back.select(F.when(F.col("_k") != _NULL_ID, F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 
 
+def met(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the documents: never by sending one of them to all tasks, whatever its estimated size."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def block_tables(radius: int = RADIUS) -> list[list[tuple[int, int]]]:
     """The blocks (first bit, bits) in the key of each table."""
     n = radius + PREFIX
@@ -137,23 +142,23 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
 
     q = dealt(queries.select(F.col("fp").alias("query_fp")).distinct(), "query_fp")
     p = dealt(prints.select("fp").distinct(), "fp")
-    met = q.join(p, ["block", "bits"])
+    pairs = met(p, q, ["block", "bits"])
     differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
     first = F.lit(len(tables))
     for t, blocks in reversed(list(enumerate(tables))):
         mask = sum(((1 << bits) - 1) << at for at, bits in blocks)
         mask -= (1 << 64) if mask >> 63 else 0
         first = F.when(differ.bitwiseAND(F.lit(mask).cast("long")) == 0, t).otherwise(first)
-    return met.filter((F.bit_count(differ) <= radius) & (F.col("block") == first)).select("query_fp", "fp", F.bit_count(differ).alias("distance"))
+    return pairs.filter((F.bit_count(differ) <= radius) & (F.col("block") == first)).select("query_fp", "fp", F.bit_count(differ).alias("distance"))
 
 
 def with_near_prints(rows: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
     """rows (doc_id, fp, ...) with near_prints: for ids divisible by `every`, how many other fingerprints lie within the radius, else null."""
-    asked = rows.filter(F.pmod("doc_id", F.lit(every)) == 0).select("fp")
-    near = within_radius(asked, rows, radius).filter("distance > 0").groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near_prints"))
-    near = asked.distinct().join(near, "fp", "left").select("fp", F.coalesce("near_prints", F.lit(0).cast("long")).alias("near_prints"))
-    joined = rows.join(near, "fp", "left")
-    return joined.withColumn("near_prints", F.when(F.pmod("doc_id", F.lit(every)) == 0, F.col("near_prints")))
+    of = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    asked = rows.filter(of)
+    near = within_radius(asked.select("fp"), rows, radius).filter("distance > 0").groupBy(F.col("query_fp").alias("fp")).agg(F.count("*").alias("near_prints"))
+    counted = met(asked, common.cut(near), ["fp"], "left").withColumn("near_prints", F.coalesce("near_prints", F.lit(0).cast("long")))
+    return counted.unionByName(rows.filter(~of).withColumn("near_prints", F.lit(None).cast("long")))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
