@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import Plan
@@ -19,15 +19,21 @@ def _non_preferred():
     return F.col("sign_nibble").isin("0xA", "0xB", "0xE")
 
 
-def field_profiles(rows: DataFrame) -> DataFrame:
-    """By field: rows seen, valid, invalid, least and greatest value that reads as a number, negative zeros, non-preferred signs."""
+def _profile() -> list[Column]:
+    """Aggregates of a profile: of a field, or of any part of its rows."""
     number = F.when(F.col("valid"), F.col("value").try_cast("decimal(38,18)"))
-    some = F.struct(number.alias("n"), F.col("value").alias("t"))
-    return rows.groupBy("field").agg(
-        F.count("*").alias("fields_seen"), F.count_if("valid").alias("fields_valid"), F.count_if(~F.col("valid")).alias("fields_invalid"),
-        F.min(F.when(number.isNotNull(), some))["t"].alias("min_value"), F.max(F.when(number.isNotNull(), some))["t"].alias("max_value"),
+    some = F.when(number.isNotNull(), F.struct(number.alias("n"), F.col("value").alias("t")))
+    return [
+        F.count("*").alias("fields_seen"), F.count_if("valid").alias("fields_valid"), F.count_if(~F.col("valid")).alias("fields_invalid"), F.min(some).alias("least"), F.max(some).alias("most"),
         F.count_if(_negative_zero()).alias("negative_zero_count"), F.count_if(_non_preferred()).alias("non_preferred_sign_count"),
-    )
+    ]
+
+
+def field_profiles(rows: DataFrame) -> DataFrame:
+    """By field: rows seen, valid, invalid, least and greatest value that reads as a number, negative zeros, non-preferred signs."""
+    found = rows.groupBy("field").agg(*_profile())
+    names = ["fields_seen", "fields_valid", "fields_invalid"]
+    return found.select("field", *names, F.col("least.t").alias("min_value"), F.col("most.t").alias("max_value"), "negative_zero_count", "non_preferred_sign_count")
 
 
 def sign_distribution(rows: DataFrame) -> DataFrame:
@@ -69,13 +75,23 @@ def report(records: DataFrame, plan: Plan, verify: bool = True, samples: int = 2
     """The audit report. What reaches the driver is bounded by the schema's fields, the codes and the samples."""
     rows = decode_long(records, plan, verify, audit=True, max_records=max_records)
     one = counters(rows).first().asDict()
-    profiles = {r["field"]: r.asDict() for r in field_profiles(rows).collect()}
-    for name, table, key in (("sign_distribution", sign_distribution(rows), "sign_nibble"), ("error_distribution", error_distribution(rows), "error_code")):
-        total: dict[str, int] = {}
-        for r in table.collect():
-            profiles[r["field"]].setdefault(name, {})[r[key]] = r["n"]
-            total[r[key]] = total.get(r[key], 0) + r["n"]
-        one[name] = dict(sorted(total.items()))
+    counts = ("fields_seen", "fields_valid", "fields_invalid", "negative_zero_count", "non_preferred_sign_count")
+    profiles: dict[str, dict[str, Any]] = {}
+    totals: dict[str, dict[str, int]] = {"sign_distribution": {}, "error_distribution": {}}
+    # One aggregation by field, sign and code; the rest is sums and extremes of its few rows.
+    for r in rows.groupBy("field", "sign_nibble", "error_code").agg(*_profile()).collect():
+        p = profiles.setdefault(r["field"], {"field": r["field"], **dict.fromkeys(counts, 0), "least": None, "most": None})
+        for k in counts:
+            p[k] += r[k]
+        for k, better in (("least", min), ("most", max)):
+            p[k] = better((x for x in (p[k], r[k]) if x is not None), default=None)
+        for name, key in (("sign_distribution", "sign_nibble"), ("error_distribution", "error_code")):
+            if r[key] is not None:
+                for held in (p.setdefault(name, {}), totals[name]):
+                    held[r[key]] = held.get(r[key], 0) + r["fields_seen"]
+    for p in profiles.values():
+        p["min_value"], p["max_value"] = (x and x["t"] for x in (p.pop("least"), p.pop("most")))
+    one |= {name: dict(sorted(total.items())) for name, total in totals.items()}
     for k in ("negative_zero_count", "non_preferred_sign_count"):
         one[k] = sum(p[k] for p in profiles.values())
     return one | (verdicts(plan, one) if verify else {}) | {
