@@ -31,7 +31,7 @@ from . import common
 
 CAPACITY = 2048
 #: Entries that a worker's cache of encoded words may hold before it starts anew.
-CACHE = 300_000
+CACHE = 120_000
 
 
 class WordCache(dict):

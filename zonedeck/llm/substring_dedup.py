@@ -46,7 +46,7 @@ ROUNDS = 4
 #: Words that an anchor's name is told apart by; a window is at least that long.
 CONTEXT = 6
 #: Words whose hashes a worker keeps before it starts anew.
-CACHE = 500_000
+CACHE = 150_000
 #: Ids with several texts up to which they are sent to the documents.
 MAX_BROADCAST = 100_000
 _NULL_ID = -(2**63)
@@ -110,16 +110,19 @@ class Slice:
 
 def least_in(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Index of the least key of each range [low, high), the first of equal ones; ranges hold 1 to 31."""
-    best = [np.arange(len(key))]
+    best = [np.arange(len(key), dtype=np.int32)]
     for k in range(4):
         a, shift = best[-1], 1 << k
         b = np.r_[a[shift:], a[len(a) - min(shift, len(a)) :]]
         best.append(np.where(key[b] < key[a], b, a))
     size = high - low
     k = np.asarray([0, *(n.bit_length() - 1 for n in range(1, 32))])[size]
-    tables = np.stack(best)
-    a, b = tables[k, low], tables[k, high - (1 << k)]
-    return np.where(key[b] < key[a], b, a)
+    out = np.empty(len(low), np.int32)
+    for n, table in enumerate(best):
+        at = np.flatnonzero(k == n)
+        a, b = table[low[at]], table[high[at] - (1 << n)]
+        out[at] = np.where(key[b] < key[a], b, a)
+    return out
 
 
 def anchors(s: Slice, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +227,9 @@ def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     first = light.groupBy("_zd_m").agg(F.min("_zd_d").alias("_zd_first"), F.max("_zd_d").alias("_zd_last")).filter("_zd_first < _zd_last").select("_zd_m", "_zd_first")
     # Cut: a join of two plain exchanges is one whose large partitions Spark can split.
     copies = common.cut(light.join(common.cut(first), "_zd_m").filter("_zd_d > _zd_first").select("_zd_d", "_zd_j", F.lit(True).alias("_zd_copy")))
-    return rows.join(copies, KEY, "left").withColumn("_zd_copy", F.coalesce("_zd_copy", F.lit(False)))
+    if copies.isEmpty():  # a join that Spark drops only while it runs would keep the readers from sharing one dealing of the texts
+        return rows.withColumn("_zd_copy", F.lit(False))
+    return rows.join(copies.hint("merge"), KEY, "left").withColumn("_zd_copy", F.coalesce("_zd_copy", F.lit(False)))
 
 
 def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -291,7 +296,7 @@ def removed_starts(keyed: DataFrame, window: int = WINDOW, text: str = "text") -
             columns = [key, check, ids[of], more[of], pos, earlier]
             yield pa.record_batch([pa.array(c) for c in columns], names=["h", "c", "d", "j", "start", "earlier"])
 
-    joined = rows.join(candidates.toDF(*KEY, "_zd_packed"), KEY).select(*rows.columns, "_zd_packed")
+    joined = rows.join(candidates.toDF(*KEY, "_zd_packed").hint("merge"), KEY).select(*rows.columns, "_zd_packed")
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -377,7 +382,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id
     """docs with n_words, n_removed, and kept_text: the words left, by one space, or the text as it was if none went."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     keyed = _keyed(docs.select(*names), ident, text)
-    joined = keyed.join(removed_starts(keyed, window, text), KEY, "left").select(*names, "_zd_copy", "_zd_starts")
+    joined = keyed.join(removed_starts(keyed, window, text).hint("merge"), KEY, "left").select(*names, "_zd_copy", "_zd_starts")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

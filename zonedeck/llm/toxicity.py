@@ -46,7 +46,7 @@ EPOCHS, BATCH, RATE = 4, 128, 0.01
 STEPS = 150
 THRESHOLD = 0.3
 #: Words whose inputs a worker keeps before it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 _EDGES = b".,;:!?\"'()[]{}<>*%$&#|-"
 
 
