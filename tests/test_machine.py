@@ -129,3 +129,24 @@ def test_execute_prefers_projections(spark):
     local = "DATA DIVISION.\n01 N PIC 9(4).\nPROCEDURE DIVISION.\nM.\n ADD 1 TO N.\n"
     assert "MapInArrow" not in machine.execute(local, rows)._jdf.queryExecution().toString()
     assert machine.execute(local.replace("ADD 1 TO N.", "PERFORM A UNTIL N > 9.\n STOP RUN.\nA.\n ADD 1 TO N."), rows).first().N == 10
+
+
+def test_loops_go_as_far_as_they_must():
+    body = "M.\n PERFORM A UNTIL BIG > 150000.\n DISPLAY BIG.\n STOP RUN.\nA.\n ADD 1 TO BIG."
+    assert made("01 BIG PIC 9(6) VALUE 0.", body).display == ["150001"]
+    records, out = [f"{k % 1000:03d}xy" for k in range(120_000)], []
+    m = made(STORE, COPY_ALL.replace(" AFTER ADVANCING 2 LINES", ""), {"IN": machine.Port(iter(records)), "OUT": machine.Port(None, out.append)}, FILES)
+    assert out == records and m.display == ["00"]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "M.\n PERFORM A UNTIL S > 0.\nA.\n ADD 1 TO N.",  # N comes round after 10,000
+        "M.\n PERFORM A VARYING I FROM 1 BY 1 UNTIL S > 0.\nA.\n CONTINUE.",
+        "M.\n PERFORM A UNTIL S > 0.\nA.\n PERFORM B VARYING I FROM 1 BY 1 UNTIL I > 3.\nB.\n MOVE I TO P.",
+    ],
+)
+def test_loops_without_end(body):
+    with pytest.raises(machine.Fault, match="without end"):
+        made(ITEMS, body)
