@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonedeck.plans import machine
+from zonedeck.queries.programs import UPDATES
 
 
 def made(items, body, ports=None, more=""):
@@ -150,3 +151,12 @@ def test_loops_go_as_far_as_they_must():
 def test_loops_without_end(body):
     with pytest.raises(machine.Fault, match="without end"):
         made(ITEMS, body)
+
+
+def test_updates_of_a_long_file():
+    records, out = [f"{k:09d}{(k % 3) * 15_000_000:011d}" for k in range(110_000)], []
+    found = machine.programs(UPDATES)
+    m = machine.Machine(found[0], {}, {"ORDERS": machine.Port(iter(records), out.append)})
+    m.main()
+    m._settled(m.ports["ORDERS"])
+    assert m.display == ["1100"] and out == ["0" * 9 + r[9:] if k % 3 == 2 else r for k, r in enumerate(records) if k % 3]
