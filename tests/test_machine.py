@@ -1,6 +1,7 @@
 """The program machine: statements, storage, files, and how runs end."""
 
 import json
+import time
 from decimal import Decimal
 
 import pytest
@@ -160,3 +161,14 @@ def test_updates_of_a_long_file():
     m.main()
     m._settled(m.ports["ORDERS"])
     assert m.display == ["1100"] and out == ["0" * 9 + r[9:] if k % 3 == 2 else r for k, r in enumerate(records) if k % 3]
+
+
+def test_equal_rows_run_once(spark):
+    """What a program does depends on its first values alone, so a task runs it once for each of them."""
+    rows = spark.range(20_000, numPartitions=1).selectExpr("id", "CAST(id % 7 AS DECIMAL(4,0)) AS n", "IF(id % 3 = 0, NULL, 'x') AS t", "IF(id % 2 = 0, NULL, array(CAST(1 AS DECIMAL(2,0)), CAST(id % 5 AS DECIMAL(2,0)))) AS k")
+    body = "M.\n PERFORM A UNTIL N > 600.\n DISPLAY N.\n IF T = SPACES MOVE 1 TO K (9).\n STOP RUN.\nA.\n ADD 1 TO N.\n ADD 1 TO I."
+    got = machine.run_rows(f"DATA DIVISION.\nWORKING-STORAGE SECTION.\n{ITEMS}\nPROCEDURE DIVISION.\n{body}", rows)
+    start = time.monotonic()
+    found = got.selectExpr("count(*)", "count_if(abend IS NULL AND display[0] = '0601' AND I = 601 - id % 7 AND K[1] = IF(id % 2 = 0, 7, id % 5))", "count_if(abend LIKE '%SUBSCRIPT%' AND I IS NULL)").first()
+    assert tuple(found) == (20_000, 13_333, 6_667)
+    assert time.monotonic() - start < 60
