@@ -172,3 +172,15 @@ def test_equal_rows_run_once(spark):
     found = got.selectExpr("count(*)", "count_if(abend IS NULL AND display[0] = '0601' AND I = 601 - id % 7 AND K[1] = IF(id % 2 = 0, 7, id % 5))", "count_if(abend LIKE '%SUBSCRIPT%' AND I IS NULL)").first()
     assert tuple(found) == (20_000, 13_333, 6_667)
     assert time.monotonic() - start < 60
+
+
+def test_items_given_back(spark):
+    """Items that nobody asks for don't leave the task, but a run still ends in an abend if one of them can't be shown."""
+    rows = spark.createDataFrame([(1, Decimal(3)), (2, Decimal(9))], "id int, cnt decimal(1,0)")
+    source = f"DATA DIVISION.\nWORKING-STORAGE SECTION.\n{ITEMS}\nPROCEDURE DIVISION.\nM.\n PERFORM A UNTIL N > 5.\n STOP RUN.\nA.\n ADD 1 TO N."
+    got = machine.execute(source, rows, only=("N", "P"))
+    assert got.columns == ["id", "N", "P", "display", "abend"]
+    a, b = got.orderBy("id").collect()
+    assert (a.N, a.P, a.abend) == (6, 1, None) and b.N is None and json.loads(b.abend)["code"] == "CBL-RT-ODO"
+    local = "DATA DIVISION.\n01 CNT PIC 9.\n01 N PIC 9(4).\nPROCEDURE DIVISION.\nM.\n MOVE CNT TO N.\n"
+    assert "CNT" not in [c.upper() for c in machine.execute(local, rows, only=("N",)).columns] and machine.execute(local, rows, only=("N",)).first().N == 3

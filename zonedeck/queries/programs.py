@@ -113,7 +113,7 @@ FILL-ONE.
 def program_tables(spark, d):
     """A table of varying size, filled, searched serially and by key, its index set up and down."""
     rows = table(spark, d, "part").select("p_partkey", (F.pmod("p_partkey", F.lit(700)) + 1).cast("decimal(5,0)").alias("ASKED"), (F.pmod("p_partkey", F.lit(30)) + 5).cast("decimal(2,0)").alias("HOW-MANY"))
-    got = machine.execute(TABLES, rows)
+    got = machine.execute(TABLES, rows, only=("FOUND-AT", "EXACT-ROOT", "LAST-SEEN"))
     return got.select("p_partkey", *[F.col(a).cast("bigint").alias(b) for a, b in (("FOUND-AT", "found_at"), ("EXACT-ROOT", "exact_root"), ("LAST-SEEN", "last_seen"))])
 
 
