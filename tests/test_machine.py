@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonedeck.plans import machine
-from zonedeck.queries.programs import UPDATES
+from zonedeck.queries.programs import UPDATES, program_updates
+from zonedeck.queries.registry import ORACLES
 
 
 def made(items, body, ports=None, more=""):
@@ -163,6 +164,21 @@ def test_updates_of_a_long_file():
     assert m.display == ["1100"] and out == ["0" * 9 + r[9:] if k % 3 == 2 else r for k, r in enumerate(records) if k % 3]
 
 
+def test_updates_in_the_order_of_the_keys(spark, tmp_path):
+    """Keys longer than the record's fields, below zero or missing, and amounts below zero, give the rows of the SQL."""
+    import duckdb
+
+    keys = [7, 2_000_000_001, 1_000_000_002, 30, 300, 1_000_000_011, None, -5, 3_000_000_000]
+    amounts = [25_000.01, 300_000.5, -40_000.25, 19_999.99, 20_000.0, -0.03, None, 200_000.01, 2e9]
+    orders = [(10**13 - k * 7 if k % 5 else k, keys[k % 9], amounts[k % 7 + k % 3], "HIGH" if k % 4 else None) for k in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(f"SELECT src_file, kind, n, rec FROM ({ORACLES['program_updates']})").fetchall()
+    got = [tuple(r) for r in program_updates(spark, str(tmp_path)).select("src_file", "kind", "n", "rec").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(r[3] is None for r in want)
+
+
 def test_equal_rows_run_once(spark):
     """What a program does depends on its first values alone, so a task runs it once for each of them."""
     rows = spark.range(20_000, numPartitions=1).selectExpr("id", "CAST(id % 7 AS DECIMAL(4,0)) AS n", "IF(id % 3 = 0, NULL, 'x') AS t", "IF(id % 2 = 0, NULL, array(CAST(1 AS DECIMAL(2,0)), CAST(id % 5 AS DECIMAL(2,0)))) AS k")

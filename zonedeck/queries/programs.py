@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import machine
@@ -344,10 +344,11 @@ def _padded(x, n: int):
     return F.lpad(x.cast("string"), n, "0")
 
 
-def order_lines(spark, d) -> DataFrame:
-    """(src_file, record_index, rec): a file for each priority, its orders by customer."""
-    rec = F.concat(_padded(F.col("o_custkey"), 9), _padded(cents(dec("o_totalprice")), 11))
-    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("src_file"), F.concat(_padded(F.col("o_custkey"), 9), _padded(F.col("o_orderkey"), 12)).alias("record_index"), rec.alias("rec"))
+def order_lines(spark, d, rec: Column | None = None) -> DataFrame:
+    """(src_file, record_index, rec): a file for each priority, its orders by customer. The index holds the keys as numbers, whatever their length, nulls last."""
+    rec = F.concat(_padded(F.col("o_custkey"), 9), _padded(cents(dec("o_totalprice")), 11)) if rec is None else rec
+    index = F.struct(*[x for k in ("o_custkey", "o_orderkey") for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k))])
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("src_file"), index.alias("record_index"), rec.alias("rec"))
 
 
 @query(f"""SELECT o_orderpriority AS src_file, 'record' AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS n,
@@ -412,7 +413,7 @@ FILE SECTION.
 FD ORDERS.
 01 ORDER-REC.
    05 CUST PIC 9(9).
-   05 AMOUNT PIC 9(11).
+   05 AMOUNT PIC S9(11).
 FD GONE.
 01 GONE-REC PIC X.
 WORKING-STORAGE SECTION.
@@ -451,7 +452,11 @@ CHANGE-ONE.
   UNION ALL SELECT DISTINCT o_orderpriority, 'display', 0, '1100' FROM orders""")
 def program_updates(spark, d):
     """I-O with REWRITE and DELETE, status 90 without a READ, a declarative for a file that isn't there."""
-    return machine.run_files(UPDATES, order_lines(spark, d), "ORDERS", "ORDERS")
+    total, none = cents(dec("o_totalprice")), " " * 9
+    digits = _padded(F.abs(total), 11)
+    amount = F.when(total < 0, F.concat(digits.substr(1, 10), F.translate(digits.substr(11, 1), "0123456789", "}JKLMNOPQR"))).otherwise(digits)
+    got = machine.run_files(UPDATES, order_lines(spark, d, F.concat(F.coalesce(_padded(F.col("o_custkey"), 9), F.lit(none)), amount)), "ORDERS", "ORDERS")
+    return got.withColumn("rec", F.when(~F.col("rec").startswith(none), F.col("rec")))  # an order without a customer has spaces for it
 
 
 RERUNS = """FILE-CONTROL.
